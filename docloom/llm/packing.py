@@ -16,27 +16,45 @@ packed like any row; an empty table gives an empty result; extra columns are ign
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, shuffle_width
+from docloom.llm.tokens import slices, word_codes
 
 DIMS, BITS = 4, 12
-#: Whitespace-delimited chunks whose token ids a worker remembers.
-REMEMBERED = 200_000
+#: Entries that one generation of a worker's memory holds.
+REMEMBERED = 250_000
+#: Text that is tokenised at once.
+SLICE_BYTES = 4 << 20
+#: Fixed value: ASCII marks that the pre-tokenizer splits from letters before them.
+MARKS = ".,;:!?*&%$#|"
 
 _WORKER: dict = {}
 
 
-class ChunkTokenizer:
-    """Token ids of whole texts, remembering the ids of frequent chunks.
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: itself if printable in Latin-1, else from 256 up."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
 
-    Valid for tokenizers whose pre-tokenizer never joins over a space or newline and drops
-    them, as word-level BPE with word ends does; others go through ``encode`` whole.
+class ChunkTokenizer:
+    """Token ids of whole texts by their white-space-delimited chunks.
+
+    Valid for tokenizers that drop white space and never join over it, such as word-level
+    BPE with word ends. A run of letters with marks after it is two parts, as the
+    pre-tokenizer splits it; each distinct part of a slice is encoded once, and frequent
+    parts are remembered in two generations, so memory is bounded. Letters up to U+017F
+    have one composed and one lower form each, so they go to the model directly; all else
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -45,24 +63,54 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for cs in chunks for c in cs if c not in known})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        out = []
-        for cs in chunks:
-            flat: list[int] = []
-            for c in cs:
-                flat += known[c]
-            out.append(np.array(flat, np.uint32))
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            if part.isalpha() and max(part) < "\u0180" and "\u0130" not in part:
+                low = part.lower()
+                own = [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.letters))]
+            else:
+                own = self.tokenizer.encode(part, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(own)}I", *own)
+        self.young[part] = found
+        return found
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Concatenated ids of the parts, and the number of ids of each."""
+        young = self.young
+        each = [young.get(p) or self._part(p) for p in parts.to_pylist()]
+        return np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number of ids of each text."""
+        codes, counts, distinct = word_codes(texts)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        letters = pc.ascii_rtrim(distinct, characters=MARKS)
+        split = pc.and_(pc.utf8_is_alpha(letters), pc.less(pc.binary_length(letters), pc.binary_length(distinct)))
+        heads = pc.if_else(split, letters, distinct)
+        heads = pc.if_else(pc.string_is_ascii(heads), pc.ascii_lower(heads), heads).dictionary_encode()
+        at = np.asarray(pc.binary_length(letters)).astype(np.int64)
+        split = np.asarray(split)
+        tails = pa.array([w[-n:] for w, n in zip(distinct.filter(pa.array(split)).to_pylist(), (np.asarray(pc.binary_length(distinct)).astype(np.int64) - at)[split].tolist(), strict=True)], pa.string()).dictionary_encode()
+        flat, sizes = self._parts(pa.concat_arrays([heads.dictionary, tails.dictionary]))
+        first = np.cumsum(sizes) - sizes
+        # Every distinct chunk as one or two parts, then every word as its chunk's parts.
+        tail = np.full(len(distinct), -1)
+        tail[split] = np.asarray(tails.indices) + len(heads.dictionary)
+        parts = np.stack([np.asarray(heads.indices).astype(np.int64), tail], axis=1)[codes].ravel()
+        real = parts >= 0
+        reps = sizes[parts[real]]
+        where = np.repeat(first[parts[real]] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+        words = np.zeros(len(parts), np.int64)
+        words[real] = reps
+        ends = np.concatenate([[0], np.cumsum(words)])[2 * np.cumsum(counts)]
+        return flat[where], np.diff(np.concatenate([[0], ends]))
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
@@ -109,12 +157,13 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def curve_place(ids: list[np.ndarray], plane: np.ndarray) -> np.ndarray:
+def curve_place(ids: np.ndarray, counts: np.ndarray, plane: np.ndarray) -> np.ndarray:
     """Hilbert index of each document's normalised projected vector."""
-    vectors = np.zeros((len(ids), plane.shape[1]))
-    for k, own in enumerate(ids):
-        if len(own):
-            vectors[k] = plane[own].sum(axis=0) / np.sqrt(len(own))
+    vectors = np.zeros((len(counts), plane.shape[1]))
+    some = counts > 0
+    if some.any():
+        starts = (np.cumsum(counts) - counts)[some]
+        vectors[some] = np.add.reduceat(plane[ids], starts, axis=0) / np.sqrt(counts[some])[:, None]
     top = (1 << BITS) - 1
     cells = np.clip((np.tanh(vectors / 4) + 1) / 2 * top, 0, top).astype(np.int64)
     return hilbert_index(cells, BITS)
@@ -125,16 +174,16 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        size = own.tokenizer.get_vocab_size()
         if ("plane", path) not in _WORKER:
-            _WORKER["plane", path] = projection(size)
+            _WORKER["plane", path] = projection(own.tokenizer.get_vocab_size())
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = own.ids([t or "" for t in part.column(1).to_pylist()])
-                place = curve_place(ids, _WORKER["plane", path])
-                raw = [np.append(i, np.uint32(end_id)).astype("<u4").tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(place), pa.array(raw, pa.binary())], ["doc_id", "place", "ids"])
+            for part in slices(batch, 1, SLICE_BYTES):
+                ids, counts = own.ids(part.column(1))
+                place = curve_place(ids, counts, _WORKER["plane", path])
+                closed = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+                offsets = np.concatenate([[0], np.cumsum(4 * (counts + 1))]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(closed)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(place), raw], ["doc_id", "place", "ids"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, place long, ids binary")
