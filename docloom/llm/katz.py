@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import Scratch, shuffle_width
 from docloom.llm.tokens import slices, word_codes
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 #: Good-Turing applies to counts up to this.
 GT_MOST = 5
 END = xxhash.xxh64_intdigest(b" end")  # holds a space, so it is no word's hash input
@@ -57,7 +57,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         head = f"{a.dtype.str},{len(a)};".encode()
         parts.append(head + a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     heads = "|".join(str(len(p)) for p in parts).encode()
-    return zstandard.ZstdCompressor(level=1).compress(heads + b"\n" + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(heads + b"\n" + b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -76,6 +76,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, which compress; ``np.cumsum`` restores them."""
+    return np.diff(ascending, prepend=0)
+
+
 def discounts(n_r: list[int], most: int = GT_MOST) -> np.ndarray:
     """Katz's factors d_1.. for counts up to k, from n_1..n_{most+1}.
 
@@ -152,16 +157,17 @@ def blocks(docs: DataFrame, width: int, folds: int) -> DataFrame:
                 ends = np.cumsum(counts)
                 tokens = np.insert(codes, ends, len(distinct))
                 home = (hashes % np.uint64(width)).astype(np.int64)
-                order = np.lexsort((hashes, home))
+                # A word's number in its block is its rank in its partition, by count, times the
+                # number of partitions, plus the partition: frequent words get small numbers.
+                order = np.lexsort((hashes, -np.bincount(tokens, minlength=len(hashes)), home))
+                cuts = np.searchsorted(home[order], np.arange(width + 1))
                 place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                tokens = place[tokens]
+                place[order] = (np.arange(len(order)) - cuts[home[order]]) * width + home[order]
                 ids = part.column(0)
                 held = np.array([i is not None and zlib.crc32(str(i).encode()) % folds == 0 for i in ids.to_pylist()], bool)
-                trained = np.bincount(tokens[np.repeat(~held, counts + 1)], minlength=len(hashes))
-                rows = [(TOKENS, -1, block, pack(tokens, counts + 1, held.astype(np.uint8)), _ids_out(ids), None)]
-                hashes, home = hashes[order], home[order]
-                cuts = np.searchsorted(home, np.arange(width + 1))
+                trained = np.bincount(tokens[np.repeat(~held, counts + 1)], minlength=len(hashes))[order]
+                rows = [(TOKENS, -1, block, pack(place[tokens], counts + 1, held.astype(np.uint8)), _ids_out(ids), None)]
+                hashes = hashes[order]
                 for p in np.unique(home).tolist():
                     a, b = cuts[p], cuts[p + 1]
                     rows.append((ASK, p, block, pack(hashes[a:b], trained[a:b]), None, None))
@@ -203,8 +209,11 @@ def _find_pairs(uni: Unigrams, width: int, hot_count: float):
     def run(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         block = int(tokens["block"].iloc[0])
         stream, sizes, held = unpack(tokens["data"].iloc[0])
-        found = [unpack(d) for d in answers.sort_values("key")["data"]]
-        number, count = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        number = np.full(int(stream.max()) + 1, UNKNOWN)
+        count = np.zeros(len(number), np.int64)
+        for p, data in zip(answers["key"], answers["data"], strict=True):
+            numbers, counts = unpack(data)
+            number[np.arange(len(numbers)) * width + p], count[np.arange(len(numbers)) * width + p] = numbers, counts
         doc = np.repeat(np.arange(len(sizes)), sizes)
         starts = np.cumsum(sizes) - sizes
         c = count[stream]
@@ -216,7 +225,7 @@ def _find_pairs(uni: Unigrams, width: int, hot_count: float):
         h_number, h_count = np.concatenate([[BOS], number]), np.concatenate([[np.iinfo(np.int64).max], count])
         alone = h_count[history] == 0
         score = np.bincount(doc[alone], np.log10(uni.p(c[alone])), len(sizes))
-        rows = [(DOCS, -1, block, pack(sizes, held, known, base, score), bytes(tokens["ids"].iloc[0]), None)]
+        rows = [(DOCS, block % width, block, pack(sizes, held, known, base, score), bytes(tokens["ids"].iloc[0]), None)]
         keep = np.flatnonzero(~alone)
         word = np.where(c > 0, stream, len(count))  # unknown words are one event
         pair = history[keep] * (len(count) + 1) + word[keep]
@@ -229,14 +238,14 @@ def _find_pairs(uni: Unigrams, width: int, hot_count: float):
         w_count = np.append(count, 0)[w]
         hot = h_count[h] > hot_count
         home = np.where(hot, (h_num * 31 + w_num * 7919) % width, h_num % width)
-        order = np.argsort(home, kind="stable")
+        order = np.lexsort((w_num, h_num, home))
         cuts = np.searchsorted(home[order], np.arange(width + 1))
         for p in np.unique(home).tolist():
             own = order[cuts[p] : cuts[p + 1]]
             spread = np.repeat(first[own], docs_of[own]) + np.arange(int(docs_of[own].sum())) - np.repeat(np.cumsum(docs_of[own]) - docs_of[own], docs_of[own])
             change = np.flatnonzero(np.r_[True, h_num[own][1:] != h_num[own][:-1]])
             runs = np.diff(np.append(change, len(own)))
-            rows.append((PAIRS, p, block, pack(h_num[own][change], runs, hot[own][change].astype(np.uint8), w_num[own], w_count[own], trained[own], docs_of[own], both[1][spread], times[spread]), None, None))
+            rows.append((PAIRS, p, block, pack(steps(h_num[own][change]), runs, hot[own][change].astype(np.uint8), w_num[own], w_count[own], trained[own], docs_of[own], both[1][spread], times[spread]), None, None))
         return pd.DataFrame(rows, columns=_COLUMNS)
 
     return run
@@ -250,15 +259,21 @@ def _unique_pairs(pair: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.stack([pair[edge], doc[edge]]), np.diff(np.append(edge, len(pair)))
 
 
-_MERGED = "key long, bigrams binary, blocks array<long>, held array<binary>, n_r array<double>, hot array<struct<history:long,stats:array<double>>>"
+_MERGED = "key long, bigrams binary, blocks array<long>, held array<binary>, n_r array<double>, hot array<struct<history:long,stats:array<double>>>, docs array<struct<block:long,data:binary,ids:binary>>"
 
 
 def _merge_pairs(uni: Unigrams):
-    """One row per partition: its bigram counts and where its documents use them."""
+    """One row per partition: its bigram counts, where its documents use them, and its blocks' documents."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        mine = rows[rows["kind"] == DOCS]
+        docs = [{"block": int(b), "data": bytes(d), "ids": bytes(i)} for b, d, i in zip(mine["block"], mine["data"], mine["ids"], strict=True)]
+        out = {"key": int(rows["key"].iloc[0]), "bigrams": None, "blocks": [], "held": [], "n_r": [], "hot": [], "docs": docs}
+        rows = rows[rows["kind"] == PAIRS]
+        if not len(rows):
+            return pd.DataFrame([out])
         got = [unpack(d) for d in rows["data"]]
-        history = np.concatenate([np.repeat(g[0], g[1]) for g in got])
+        history = np.concatenate([np.repeat(np.cumsum(g[0]), g[1]) for g in got])
         is_hot = np.concatenate([np.repeat(g[2], g[1]) for g in got])
         word, w_count, trained = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
         order = np.lexsort((word, history))
@@ -268,17 +283,20 @@ def _merge_pairs(uni: Unigrams):
         lead = order[edge]
         count = np.bincount(index, trained).astype(np.int64)
         history, word, w_count, is_hot = history[lead], word[lead], w_count[lead], is_hot[lead]
-        held, at = [], 0
-        for g in got:
-            held.append(pack(index[at : at + len(g[3])], g[6], g[7], g[8]))
+        at = 0
+        for g in got:  # a block's pairs are in the order of the merged ones
+            out["held"].append(pack(steps(index[at : at + len(g[3])]), g[6], g[7], g[8]))
             at += len(g[3])
         seen = count > 0
-        n_r = [float((count == r).sum()) for r in range(1, GT_MOST + 2)]
-        hot = []
+        out["n_r"] = [float((count == r).sum()) for r in range(1, GT_MOST + 2)]
         for h in np.unique(history[is_hot == 1]).tolist():
             own = (history == h) & seen
-            hot.append({"history": h, "stats": [float(count[own].sum()), *(float((count[own] == r).sum()) for r in range(1, GT_MOST + 1)), float(uni.p(w_count[own]).sum())]})
-        return pd.DataFrame([(int(rows["key"].iloc[0]), pack(history, word, w_count, count), [int(b) for b in rows["block"]], held, n_r, hot)], columns=["key", "bigrams", "blocks", "held", "n_r", "hot"])
+            out["hot"].append({"history": h, "stats": [float(count[own].sum()), *(float((count[own] == r).sum()) for r in range(1, GT_MOST + 1)), float(uni.p(w_count[own]).sum())]})
+        names, runs = np.unique(history, return_counts=True)
+        mass = np.bincount(np.repeat(np.arange(len(names)), runs), np.where(seen, uni.p(w_count), 0), len(names))
+        out["bigrams"] = pack(steps(names), runs, mass, word, count, w_count[~seen])
+        out["blocks"] = [int(b) for b in rows["block"]]
+        return pd.DataFrame([out])
 
     return run
 
@@ -300,12 +318,13 @@ def _score(uni: Unigrams, d: np.ndarray, hot: dict[int, list[float]]):
         for batch in batches:
             for k in range(batch.num_rows):
                 key, bigrams, block_ids, held = (batch.column(i)[k].as_py() for i in range(4))
-                history, word, w_count, count = unpack(bigrams)
-                names, where = np.unique(history, return_inverse=True)
-                seen = count > 0
+                names, runs, mass, word, count, unseen = unpack(bigrams)
+                names, where = np.cumsum(names), np.repeat(np.arange(len(runs)), runs)
+                mass, seen = mass.copy(), count > 0
+                w_count = np.zeros(len(count), np.int64)
+                w_count[~seen] = unseen
                 total = np.bincount(where, count, len(names))
                 rare = np.stack([np.bincount(where[count == r], minlength=len(names)) for r in range(1, GT_MOST + 1)], axis=1).astype(float)
-                mass = np.bincount(where[seen], uni.p(w_count[seen]), len(names))
                 for i in np.flatnonzero(np.isin(names, list(hot))).tolist():
                     total[i], rare[i], mass[i] = (s := hot[int(names[i])])[0], s[1:-1], s[-1]
                 bottom, alpha = backoff(total, rare, d, mass)
@@ -316,7 +335,7 @@ def _score(uni: Unigrams, d: np.ndarray, hot: dict[int, list[float]]):
                 yield _scores([(key, -1, pack(names, np.log10(alpha)))])
                 for block, data in zip(block_ids, held, strict=True):
                     index, docs_of, doc, times = unpack(data)
-                    part = np.bincount(doc, np.repeat(logs[index], docs_of) * times)
+                    part = np.bincount(doc, np.repeat(logs[np.cumsum(index)], docs_of) * times)
                     used = np.unique(doc)
                     yield _scores([(key, block, pack(used, part[used]))])
 
@@ -364,6 +383,7 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
 
     columns = [F.col(c) for c in _COLUMNS]
     words = scratch.save(first.filter(F.col("kind") == ASK).select(columns).groupBy("key").applyInPandas(_count_words(width), _ROW), "unigrams", "kind")
+    scratch.drop(f"blocks/kind={ASK}")
     totals = words.filter(F.col("kind") == TOTALS).select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
     tokens, types, *n_r = (int(r["x"]) for r in totals)
     uni = Unigrams(tokens, types, n_r)
@@ -372,13 +392,9 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     left = first.filter(F.col("kind") == TOKENS).select(columns)
     right = words.filter(F.col("kind") == ANSWER).select(columns)
     found = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(_find_pairs(uni, width, tokens / (4 * width)), _ROW)
-    found = scratch.save(found, "pairs", "kind")
+    merged = scratch.save(found.groupBy("key").applyInPandas(_merge_pairs(uni), _MERGED), "bigrams", compression="uncompressed")
     scratch.drop("blocks")
-    _release(docs)
-
-    merged = found.filter(F.col("kind") == PAIRS).select(columns).groupBy("key").applyInPandas(_merge_pairs(uni), _MERGED)
-    merged = scratch.save(merged, "bigrams", compression="uncompressed")
-    scratch.drop("pairs/kind=6")
+    scratch.drop(f"unigrams/kind={ANSWER}")
     _release(docs)
     counts = merged.select(F.posexplode("n_r").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
     d = discounts([int(r["x"]) for r in counts])
@@ -386,8 +402,9 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     parts = merged.select(F.explode("hot").alias("hot")).select(F.col("hot.history").alias("history"), F.posexplode("hot.stats").alias("at", "x"))
     sums = parts.groupBy("history", "at").agg(F.sum("x").alias("x")).groupBy("history").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s")).collect()
     hot = {r["history"]: [x["x"] for x in r["s"]] for r in sums}
-    scores = scratch.save(merged.select("key", "bigrams", "blocks", "held").mapInArrow(_score(uni, d, hot), "key long, block long, data binary"), "scores")
+    ready = merged.filter("bigrams is not null").select("key", "bigrams", "blocks", "held")
+    scores = scratch.save(ready.mapInArrow(_score(uni, d, hot), "key long, block long, data binary"), "scores")
 
-    rows = found.filter(F.col("kind") == DOCS).select(columns)
+    rows = merged.select(F.explode("docs").alias("d")).select("d.block", "d.data", "d.ids")
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("block").cogroup(scores.filter("block >= 0").groupBy("block")).applyInPandas(_finish(tokens), out)
