@@ -141,10 +141,16 @@ def resolve(
     return out
 
 
-def verify(keyed: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Byte verification of all hits: the digests whose rows differ, or None."""
-    hits = keyed.select("digest", "normal").join(groups.select("digest"), "digest", "left_semi")
-    differ = hits.groupBy("digest").agg(F.min("normal").alias("low"), F.max("normal").alias("high")).filter("low != high").select("digest")
+def verify(keyed: DataFrame, groups: DataFrame, scratch: Scratch, salts: int = 16) -> DataFrame | None:
+    """Byte verification of all hits: the digests whose rows differ, or None.
+
+    Hits are found under salted digests and compared within each salt first, so a large
+    group of copies is neither read nor compared by one task.
+    """
+    salted = groups.select("digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = keyed.select("digest", "normal", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    ends = rows.join(salted, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("normal").alias("low"), F.max("normal").alias("high"))
+    differ = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select("digest")
     differ = scratch.save(differ, "collided")
     return None if differ.isEmpty() else differ
 
