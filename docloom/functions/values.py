@@ -84,10 +84,14 @@ def literal(value) -> Val:
 
 def tag(v: Column) -> Column:
     """VOID, BOOLEAN, BIGINT, DECIMAL, DOUBLE, STRING, OBJECT or ARRAY of a VARIANT."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def is_tag(v: Column, *names: str) -> Column:
+    if names == ("ARRAY",):  # a cast that fails at once, where the tag would read all of the value
+        return F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    if names == ("OBJECT",):
+        return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
     return F.coalesce(tag(v).isin(*names), F.lit(False))
 
 
@@ -203,7 +207,7 @@ def elements(v: Val) -> Val:
     if v.kind == "arr":
         return v
     if v.kind == "json":
-        return Val(F.when(is_tag(v.col, "ARRAY"), v.col.cast("array<variant>")), "arr", T.ArrayType(T.VariantType()))
+        return Val(F.try_variant_get(v.col, "$", "array<variant>"), "arr", T.ArrayType(T.VariantType()))
     raise ValueError(f"Operand is not an array: {v.kind}")
 
 
@@ -214,7 +218,7 @@ def members(v: Val) -> Val:
     if v.kind == "obj":
         whole = F.to_variant_object(v.col)
     elif v.kind == "json":
-        whole = F.when(is_tag(v.col, "OBJECT"), v.col)
+        whole = v.col
     else:
         raise ValueError(f"Operand is not an object: {v.kind}")
-    return Val(whole.cast("map<string,variant>"), "map", T.MapType(T.StringType(), T.VariantType()))
+    return Val(F.try_variant_get(whole, "$", "map<string,variant>"), "map", T.MapType(T.StringType(), T.VariantType()))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -453,23 +453,48 @@ def path_nodes(df: DataFrame, doc: str, path: str, keys: list[str]) -> DataFrame
 # -- lowering to Columns
 
 
+def _variant_path(segments: tuple) -> tuple[str, tuple]:
+    """The longest prefix of plain names and indexes as one VARIANT path, and the rest."""
+    out = "$"
+    for k, s in enumerate(segments):
+        own = s.selectors[0]
+        if s.descendant or len(s.selectors) > 1 or not isinstance(own, (Name, Index)) or isinstance(own, Index) and own.index < 0:
+            return out, segments[k:]
+        quoted = "" if isinstance(own, Index) else own.name.replace("\\", "\\\\").replace("'", "\\'")
+        out += f"[{own.index}]" if isinstance(own, Index) else f"['{quoted}']"
+    return out, ()
+
+
 @dataclass
 class Lowering:
     root: Column
-    depth: int = field(default=0)
+
+    def direct(self, path: Path, current: Column) -> Column | None:
+        """The value of a path of plain names and indexes in one access, else None."""
+        prefix, rest = _variant_path(path.segments)
+        return None if rest else F.try_variant_get(self.root if path.absolute else current, prefix, "variant")
 
     def path(self, path: Path, current: Column) -> Column:
         """The path's nodes as array<variant>."""
         start = self.root if path.absolute else current
-        nodes = F.filter(F.array(start), lambda x: x.isNotNull())
-        for k, segment in enumerate(path.segments):
+        prefix, rest = _variant_path(path.segments)
+        at_root = path.absolute and prefix == "$"
+        start = start if prefix == "$" else F.try_variant_get(start, prefix, "variant")
+        if rest and not any(s.descendant for s in rest[:1]):  # the first step needs no list of nodes
+            nodes = F.when(start.isNotNull(), self.step(rest[0], at_root)(start)).otherwise(F.array().cast("array<variant>"))
+            rest = rest[1:]
+        else:
+            nodes = F.filter(F.array(start), lambda x: x.isNotNull())
+        for segment in rest:
             if segment.descendant:
                 raise PathError("descendants are evaluated by path_nodes")
-            nodes = F.flatten(F.transform(nodes, self.step(segment, k == 0 and path.absolute)))
+            nodes = F.flatten(F.transform(nodes, self.step(segment, False)))
         return nodes
 
     def step(self, segment: Segment, at_root: bool) -> Callable[[Column], Column]:
         """A node's results of all selectors, in their order."""
+        if len(segment.selectors) == 1:
+            return lambda n: self.select(segment.selectors[0], n, at_root)
         return lambda n: F.concat(*[self.select(s, n, at_root) for s in segment.selectors])
 
     def select(self, selector, n: Column, at_root: bool) -> Column:
@@ -514,6 +539,8 @@ class Lowering:
         if isinstance(own, Literal):
             return literal(own.value)
         if isinstance(own, Path):
+            if (value := self.direct(own, current)) is not None:
+                return Val(value, "json")
             nodes = self.path(own, current)
             return Val(F.when(F.size(nodes) <= 1, F.get(nodes, F.lit(0))).otherwise(nodes.cast("variant")), "json")
         return self.call(own, current)
@@ -542,18 +569,19 @@ class Lowering:
             parts = [self.test(p, current) for p in test.parts]
             return ~parts[0] if test.op == "!" else reduce((lambda a, b: a & b) if test.op == "&&" else (lambda a, b: a | b), parts)
         if isinstance(test, Path):
-            return F.size(self.path(test, current)) > 0
+            value = self.direct(test, current)
+            return F.size(self.path(test, current)) > 0 if value is None else value.isNotNull()
         if isinstance(test, Compare):
             return self.compare(test.op, self.operand(test.left, current), self.operand(test.right, current))
         return truthy(self.operand(test, current))
 
     def compare(self, op: str, a: Val, b: Val) -> Column:
         there = a.col.isNotNull() & b.col.isNotNull()
-        same = canonical(a) == canonical(b)
-        if op == "==":
+        if op in ("==", "!="):
+            same = canonical(a) == canonical(b)
+            if op == "!=":
+                return F.coalesce(there & ~same, F.lit(False))
             return F.coalesce((there & same) | (a.col.isNull() & b.col.isNull()), F.lit(False))
-        if op == "!=":
-            return F.coalesce(there & ~same, F.lit(False))
         step = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
 
         def typed(v: Val, kind: str, sql: str, tags: tuple[str, ...]) -> Column:
@@ -561,8 +589,10 @@ class Lowering:
                 return F.when(is_tag(v.col, *tags), F.try_variant_get(v.col, "$", sql))
             return v.col.cast(sql) if v.kind == kind else F.lit(None).cast(sql)
 
-        found = [step(typed(a, k, s, t), typed(b, k, s, t)) for k, s, t in (("num", "double", NUMBER_TAGS), ("str", "string", ("STRING",)), ("bool", "boolean", ("BOOLEAN",)))]
-        rest = there & same if op in ("<=", ">=") else F.lit(False)
+        kinds = (("num", "double", NUMBER_TAGS), ("str", "string", ("STRING",)), ("bool", "boolean", ("BOOLEAN",)))
+        known = {v.kind for v in (a, b)} - {"json"}
+        found = [step(typed(a, k, s, t), typed(b, k, s, t)) for k, s, t in kinds if known <= {k}]
+        rest = there & (canonical(a) == canonical(b)) if op in ("<=", ">=") else F.lit(False)
         return F.coalesce(*found, rest, F.lit(False))
 
 
@@ -573,5 +603,8 @@ def path_values(doc: Column, path: str) -> Column:
 
 def path_value(doc: Column, path: str, kind: str = "string") -> Column:
     """The single value of a path, cast; NULL where there is none or more than one."""
+    prefix, rest = _variant_path(parse(path).segments)
+    if not rest:
+        return F.try_variant_get(doc, prefix, kind)
     found = path_values(doc, path)
     return F.when(F.size(found) == 1, F.try_variant_get(F.get(found, F.lit(0)), "$", kind))
