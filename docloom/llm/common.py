@@ -67,3 +67,41 @@ def words(text: Column) -> Column:
 def in_fold(doc_id: Column, folds: int) -> Column:
     """Whether crc32(doc_id as text) mod folds is zero; null ids are never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+#: Bits of one bitmap of Spark's bitmap functions, and bitmaps of a filter: 8 MB at most.
+BITMAP_BITS, MOST_BITMAPS = 32768, 2048
+
+
+def filter_bit(*keys: Column | str) -> Column:
+    """A key's bit in its bitmap."""
+    return F.pmod(F.shiftright(F.xxhash64(*keys), 24), F.lit(BITMAP_BITS))
+
+
+def filter_bucket(buckets: int, *keys: Column | str) -> Column:
+    """The bitmap that a key belongs to."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def bit_is_set(bitmap: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
+class MemberFilter:
+    """Tells rows whose key is surely not among some members, without a shuffle of the rows.
+
+    The members' hashes set bits of bitmaps that are broadcast; their size is bounded, so a
+    large member set makes the filter let more rows pass and never a wrong one stay back.
+    """
+
+    def __init__(self, members: DataFrame, scratch: Scratch, name: str):
+        self.buckets = min(MOST_BITMAPS, members.count() * 16 // BITMAP_BITS + 1)
+        own = members.groupBy(filter_bucket(self.buckets, *members.columns).alias("__bucket")).agg(F.bitmap_construct_agg(filter_bit(*members.columns)).alias("__bits"))
+        self.table = scratch.save(own, name)
+
+    def split(self, rows: DataFrame, *keys: Column | str) -> tuple[DataFrame, DataFrame]:
+        """(rows that may be members, rows that are not)."""
+        flagged = rows.withColumn("__bucket", filter_bucket(self.buckets, *keys)).join(F.broadcast(self.table), "__bucket", "left")
+        may = bit_is_set(F.col("__bits"), filter_bit(*keys))
+        return flagged.filter(may).select(rows.columns), flagged.filter(~may).select(rows.columns)

@@ -22,11 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, text_or_empty
-
-#: Bits of one bitmap of Spark's bitmap functions.
-BITMAP_BITS = 32768
-
+from docloom.llm.common import BITMAP_BITS, MemberFilter, Scratch, bit_is_set, filter_bit, filter_bucket, text_or_empty
 
 def normalised(text: Column) -> Column:
     """The text without [\\x20\\x09-\\x0D]; null counts as empty."""
@@ -37,19 +33,6 @@ def sha256(normal: Column) -> Column:
     return F.unhex(F.sha2(normal.cast("binary"), 256))
 
 
-def _bucket(n: int) -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
-
-
-def _bit() -> Column:
-    return F.pmod(F.shiftright(F.xxhash64("digest"), 24), F.lit(BITMAP_BITS))
-
-
-def _is_set(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
-
-
 def flush_runs(ledger: DataFrame, scratch: Scratch) -> DataFrame:
     """Sorted digest runs with the best row and the number of rows of each digest."""
     best = F.min(F.struct((-F.col("n_points")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
@@ -59,7 +42,7 @@ def flush_runs(ledger: DataFrame, scratch: Scratch) -> DataFrame:
 
 def run_filters(runs: DataFrame, buckets: int) -> DataFrame:
     """One bitmap filter per run and bucket."""
-    return runs.groupBy("run", _bucket(buckets).alias("bucket")).agg(F.bitmap_construct_agg(_bit()).alias("bits"))
+    return runs.groupBy("run", filter_bucket(buckets, "digest").alias("bucket")).agg(F.bitmap_construct_agg(filter_bit("digest")).alias("bits"))
 
 
 def compact(runs: DataFrame, scratch: Scratch, n_runs: int) -> DataFrame:
@@ -74,9 +57,9 @@ def compact(runs: DataFrame, scratch: Scratch, n_runs: int) -> DataFrame:
         .agg(F.map_from_entries(F.collect_list(F.struct("for_run", "bits"))).alias("filters"))
     )
     probed = (
-        runs.withColumn("bucket", _bucket(buckets))
+        runs.withColumn("bucket", filter_bucket(buckets, "digest"))
         .join(others, F.col("bucket") == F.col("f_bucket"), "left")
-        .withColumn("shared", _is_set(F.col("filters")[F.col("run")], _bit()))
+        .withColumn("shared", bit_is_set(F.col("filters")[F.col("run")], filter_bit("digest")))
         .select("bucket", "digest", "best", "n", "shared")
     )
     probed = scratch.save(probed, "probed")
@@ -90,8 +73,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
     return texts.withColumn("normal", normalised(F.col("text"))).withColumn("digest", digest(F.col("normal")))
 
 
-def _index(keyed: DataFrame, runs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """The ledger of all rows, the groups of several rows, and digests that texts share by chance."""
+def _index(keyed: DataFrame, runs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, MemberFilter, DataFrame | None]:
+    """The ledger of all rows, the groups of several rows with their filter, and digests that texts share by chance."""
     ledger = scratch.save(
         keyed.select(
             "doc_id",
@@ -110,7 +93,9 @@ def _index(keyed: DataFrame, runs: int, scratch: Scratch) -> tuple[DataFrame, Da
         (-F.col("best.neg")).alias("keep_points"),
         F.col("n").alias("group_size"),
     )
-    return ledger, groups, verify(keyed, groups, scratch)
+    groups = scratch.save(groups, "groups")
+    hits = MemberFilter(groups.select("digest"), scratch, "hits")
+    return ledger, groups, hits, verify(keyed, groups, hits, scratch)
 
 
 def resolve(
@@ -127,7 +112,7 @@ def resolve(
     """
     scratch = Scratch(docs.sparkSession, "exact")
     keyed = _keyed(docs, id_col, text_col, digest)
-    ledger, groups, collided = _index(keyed, runs, scratch)
+    ledger, groups, _, collided = _index(keyed, runs, scratch)
     out = ledger.join(groups, "digest", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -141,14 +126,16 @@ def resolve(
     return out
 
 
-def verify(keyed: DataFrame, groups: DataFrame, scratch: Scratch, salts: int = 16) -> DataFrame | None:
+def verify(keyed: DataFrame, groups: DataFrame, hits: MemberFilter, scratch: Scratch, salts: int = 16) -> DataFrame | None:
     """Byte verification of all hits: the digests whose rows differ, or None.
 
-    Hits are found under salted digests and compared within each salt first, so a large
-    group of copies is neither read nor compared by one task.
+    Texts that the filter rules out are not moved. The others are matched under salted
+    digests and compared within each salt first, so a large group of copies is neither read
+    nor compared by one task.
     """
     salted = groups.select("digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = keyed.select("digest", "normal", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    may, _ = hits.split(keyed, "digest")
+    rows = may.select("digest", "normal", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     ends = rows.join(salted, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("normal").alias("low"), F.max("normal").alias("high"))
     differ = ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select("digest")
     differ = scratch.save(differ, "collided")
@@ -169,16 +156,17 @@ def _by_text(keyed: DataFrame, collided: DataFrame, scratch: Scratch) -> DataFra
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 4) -> DataFrame:
     """The kept rows of ``docs`` with all their columns.
 
-    Rows of unique texts pass without a shuffle of their own; of the others the row with
-    the kept id and length stays, once even where such rows repeat.
+    Rows of unique texts pass without a shuffle; of the others the row with the kept id and
+    length stays, once even where such rows repeat.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    _, groups, collided = _index(_keyed(docs, id_col, text_col, sha256), runs, scratch)
+    _, groups, hits, collided = _index(_keyed(docs, id_col, text_col, sha256), runs, scratch)
     if collided is not None:
         raise ValueError("different texts share a SHA-256 digest; use resolve(), which tells them apart")
-    rows = docs.withColumn("_digest", sha256(normalised(F.col(text_col))))
-    keys = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("keep_points").alias("_points"))
-    single = rows.join(keys.select("_digest"), "_digest", "left_anti")
-    stays = F.col(id_col).eqNullSafe(F.col("_keep")) & (F.char_length(text_or_empty(F.col(text_col))) == F.col("_points"))
-    best = rows.join(keys, "_digest").filter(stays).dropDuplicates(["_digest"])
-    return single.select(docs.columns).unionByName(best.select(docs.columns))
+    rows = docs.withColumn("__digest", sha256(normalised(F.col(text_col))))
+    keys = groups.select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("keep_points").alias("__points"))
+    may, alone = hits.split(rows, "__digest")
+    single = may.join(keys.select("__digest"), "__digest", "left_anti")
+    stays = F.col(id_col).eqNullSafe(F.col("__keep")) & (F.char_length(text_or_empty(F.col(text_col))) == F.col("__points"))
+    best = may.join(keys, "__digest").filter(stays).dropDuplicates(["__digest"])
+    return alone.select(docs.columns).unionByName(single.select(docs.columns)).unionByName(best.select(docs.columns))
