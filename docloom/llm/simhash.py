@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch
+from docloom.llm.common import MemberFilter, Scratch
 
 BYTES = 8
 #: Rows of a posting list that one comparison holds on each side.
@@ -193,9 +193,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """The row with the smallest id of each component; rows with null ids stay."""
+    scratch = Scratch(docs.sparkSession, "simhash")
     found = cluster(docs, id_col, text_col, shingle, bits)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    gone = scratch.save(found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    may, stays = MemberFilter(gone, scratch, "gone_filter").split(docs, id_col)
+    return stays.unionByName(may.join(gone, id_col, "left_anti").select(docs.columns))
 
 
 def hexadecimal(fp):

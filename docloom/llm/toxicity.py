@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
 
 def score_table(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and score of every document, or its ``carry`` columns and score."""
-    narrow = docs.select(F.col(text_col).alias("_text"), *([F.col(c) for c in carry] or [F.col(id_col).alias("doc_id")]))
+    narrow = docs.select(F.col(text_col).alias("__text"), *([F.col(c) for c in carry] or [F.col(id_col).alias("doc_id")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
