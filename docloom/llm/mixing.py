@@ -56,11 +56,11 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, limit: flo
     )
 
 
-def _join_sources(rows: DataFrame, table: DataFrame, small: int = 10_000) -> DataFrame:
+def _join_sources(rows: DataFrame, table: DataFrame, small: int = 10_000, key: str = "source", name: str = "source") -> DataFrame:
     """Rows with their source's entry; the table is broadcast only where it is counted small."""
-    table = table.withColumnRenamed("source", "_source")
+    table = table.withColumnRenamed(name, "__other")
     table = F.broadcast(table) if table.limit(small + 1).count() <= small else table
-    return rows.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return rows.join(table, F.col(key).eqNullSafe(F.col("__other"))).drop("__other")
 
 
 def _order(sent_round: Column) -> Column:
@@ -102,16 +102,23 @@ def mix(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, taken."""
-    rows = _mix(docs, weights, share, limit, id_col, source_col, text_col, ())
+    queued, taken = _queue(docs, weights, share, limit, id_col, source_col, text_col)
+    copies = sum((F.when(t, 1).otherwise(0) for t in taken), F.lit(0)).cast("long")
+    rows = queued.withColumn("copies", copies)
     return rows.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _mix(docs, weights, share, limit, id_col, source_col, text_col, carry: Sequence[str]) -> DataFrame:
-    """The mix with the columns ``carry`` under the names _carry_<position>."""
+def shuffle_key(doc_id: Column) -> Column:
+    """The document's place in its source's shuffled order."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def _queue(docs: DataFrame, weights, share, limit, id_col, source_col, text_col) -> tuple[DataFrame, list[Column]]:
+    """The queued documents, and for each round whether the mix takes their copy of it."""
     scratch = Scratch(docs.sparkSession, "mix")
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long")
-    own = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")]
-    rows = scratch.save(docs.select(*own, *[F.col(c).alias(f"_carry_{k}") for k, c in enumerate(carry)]), "rows")
+    own = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")]
+    rows = scratch.save(docs.select(*own, shuffle_key(F.col(id_col)).alias("key")), "rows")
     sizes = scratch.save(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sizes")
     goals = scratch.save(targets(sizes, weights, share, limit), "targets")
     most, total, words = sizes.agg(F.max("n"), F.sum("n"), F.sum("source_size")).first()
@@ -128,9 +135,8 @@ def _mix(docs, weights, share, limit, id_col, source_col, text_col, carry: Seque
     queued = scratch.save(_join_sources(placed, goals), "queued")
 
     cut = _cut(queued.filter("size > 0"), (words or 0) * share, limit, max(1, math.isqrt(limit * (total or 0))))
-    copies = sum((F.when(_order(F.lit(r)) < cut, 1).otherwise(0) if cut is not None else F.lit(1) for r in range(limit)), F.lit(0))
-    copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("long")
-    return queued.withColumn("copies", copies)
+    some = F.col("size") > 0
+    return queued, [some & (_order(F.lit(r)) < cut if cut is not None else F.lit(True)) for r in range(limit)]
 
 
 def mixture(
@@ -142,7 +148,24 @@ def mixture(
     source_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes it."""
-    counted = _mix(docs, weights, share, limit, id_col, source_col, text_col, docs.columns).filter("copies > 0")
-    again = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return again.select(*[F.col(f"_carry_{k}").alias(c) for k, c in enumerate(docs.columns)])
+    """The rows of ``docs`` that the mix takes, each as often as it takes it.
+
+    A source sends its documents in the order of their keys, so what it has sent in a round
+    when the queue is cut ends at one document. Those ends are a small table by source, and
+    the documents are compared with them where they lie: texts are never moved.
+    """
+    queued, taken = _queue(docs, weights, share, limit, id_col, source_col, text_col)
+    place = F.struct("key", F.col("doc_id").isNotNull().alias("named"), "doc_id", "size")
+    ends = queued.groupBy("source").agg(*[F.max(F.when(t, place)).alias(f"__end_{r}") for r, t in enumerate(taken)])
+    ends = Scratch(docs.sparkSession, "mix").save(ends, "ends")
+    rows = docs.withColumn("__source", F.col(source_col)).withColumn("__key", shuffle_key(F.col(id_col)))
+    rows = _join_sources(rows, ends.withColumnRenamed("source", "__name"), key="__source", name="__name")
+    own = F.struct(F.col("__key").alias("key"), F.col(id_col).isNotNull().alias("named"), F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"))
+
+    def sent(end: str) -> Column:  # words are counted only for documents at an end
+        return F.when(F.col("__key") < F.col(f"{end}.key"), True).when(F.col("__key") == F.col(f"{end}.key"), own <= F.col(end)).otherwise(False)
+
+    copies = sum((F.when(sent(f"__end_{r}"), 1).otherwise(0) for r in range(limit)), F.lit(0))
+    has_word = text_or_empty(F.col(text_col)).rlike(f"[^{SPACE}]")
+    again = rows.withColumn("__copies", copies).filter((F.col("__copies") > 0) & has_word)
+    return again.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)

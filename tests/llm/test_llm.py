@@ -417,8 +417,14 @@ def test_mixing(odd, docs, spark):
             largest = max(r.size for r in got if r.source == s)
             assert abs(taken[s] - target[s]) <= max(largest, 1) * 3
     assert mixing.mix(empty(spark)).count() == 0 == mixing.mixture(empty(spark)).count()
-    mixed = mixing.mixture(odd)
-    assert mixed.columns == odd.columns
+    for frame in (odd, docs):
+        mixed = mixing.mixture(frame)
+        assert mixed.columns == frame.columns
+        want = collections.Counter()
+        for r in mixing.mix(frame).collect():
+            want[r.doc_id, r.source, r.size] += r.copies
+        got = collections.Counter((r.doc_id, r.source, len(words(r.text))) for r in mixed.select("doc_id", "source", "text").collect())
+        assert got == +want
 
 
 # -- lines
