@@ -36,8 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, shuffle_width
-from docloom.llm.tokens import slices, word_codes
+from docloom.llm.common import Scratch, shuffle_width, small_batches
+from docloom.llm.tokens import gathered, word_codes
 
 BLOCK_BYTES = 8 << 20
 #: Good-Turing applies to counts up to this.
@@ -150,29 +150,28 @@ def blocks(docs: DataFrame, width: int, folds: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for part in slices(batch, 1, BLOCK_BYTES):
-                codes, counts, distinct = word_codes(part.column(1), lower=True)
-                hashes = np.array([xxhash.xxh64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()] + [END], np.uint64)
-                ends = np.cumsum(counts)
-                tokens = np.insert(codes, ends, len(distinct))
-                home = (hashes % np.uint64(width)).astype(np.int64)
-                # A word's number in its block is its rank in its partition, by count, times the
-                # number of partitions, plus the partition: frequent words get small numbers.
-                order = np.lexsort((hashes, -np.bincount(tokens, minlength=len(hashes)), home))
-                cuts = np.searchsorted(home[order], np.arange(width + 1))
-                place = np.empty(len(order), np.int64)
-                place[order] = (np.arange(len(order)) - cuts[home[order]]) * width + home[order]
-                ids = part.column(0)
-                held = np.array([i is not None and zlib.crc32(str(i).encode()) % folds == 0 for i in ids.to_pylist()], bool)
-                trained = np.bincount(tokens[np.repeat(~held, counts + 1)], minlength=len(hashes))[order]
-                rows = [(TOKENS, -1, block, pack(place[tokens], counts + 1, held.astype(np.uint8)), _ids_out(ids), None)]
-                hashes = hashes[order]
-                for p in np.unique(home).tolist():
-                    a, b = cuts[p], cuts[p + 1]
-                    rows.append((ASK, p, block, pack(hashes[a:b], trained[a:b]), None, None))
-                yield _table(rows)
-                block += 1
+        for part in gathered(batches, 1, BLOCK_BYTES):
+            codes, counts, distinct = word_codes(part.column(1), lower=True)
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()] + [END], np.uint64)
+            ends = np.cumsum(counts)
+            tokens = np.insert(codes, ends, len(distinct))
+            home = (hashes % np.uint64(width)).astype(np.int64)
+            # A word's number in its block is its rank in its partition, by count, times the
+            # number of partitions, plus the partition: frequent words get small numbers.
+            order = np.lexsort((hashes, -np.bincount(tokens, minlength=len(hashes)), home))
+            cuts = np.searchsorted(home[order], np.arange(width + 1))
+            place = np.empty(len(order), np.int64)
+            place[order] = (np.arange(len(order)) - cuts[home[order]]) * width + home[order]
+            ids = part.column(0)
+            held = np.array([i is not None and zlib.crc32(str(i).encode()) % folds == 0 for i in ids.to_pylist()], bool)
+            trained = np.bincount(tokens[np.repeat(~held, counts + 1)], minlength=len(hashes))[order]
+            rows = [(TOKENS, -1, block, pack(place[tokens], counts + 1, held.astype(np.uint8)), _ids_out(ids), None)]
+            hashes = hashes[order]
+            for p in np.unique(home).tolist():
+                a, b = cuts[p], cuts[p + 1]
+                rows.append((ASK, p, block, pack(hashes[a:b], trained[a:b]), None, None))
+            yield _table(rows)
+            block += 1
 
     narrow = docs.select(F.col("doc_id"), F.col("text"))
     return narrow.mapInArrow(run, _ROW)
@@ -373,6 +372,7 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "katz")
     width = max(1, shuffle_width(spark))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

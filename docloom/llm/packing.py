@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, shuffle_width
-from docloom.llm.tokens import slices, word_codes
+from docloom.llm.common import Scratch, shuffle_width, small_batches
+from docloom.llm.tokens import gathered, word_codes
 
 DIMS, BITS = 4, 12
 #: Entries that one generation of a worker's memory holds.
@@ -176,15 +176,15 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
         own = tokenizer(path)
         if ("plane", path) not in _WORKER:
             _WORKER["plane", path] = projection(own.tokenizer.get_vocab_size())
-        for batch in batches:
-            for part in slices(batch, 1, SLICE_BYTES):
-                ids, counts = own.ids(part.column(1))
-                place = curve_place(ids, counts, _WORKER["plane", path])
-                closed = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-                offsets = np.concatenate([[0], np.cumsum(4 * (counts + 1))]).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(closed)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(place), raw], ["doc_id", "place", "ids"])
-
+        for part in gathered(batches, 1, SLICE_BYTES):
+            ids, counts = own.ids(part.column(1))
+            place = curve_place(ids, counts, _WORKER["plane", path])
+            closed = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+            offsets = np.concatenate([[0], np.cumsum(4 * (counts + 1))]).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(closed)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(place), raw], ["doc_id", "place", "ids"])
+
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, place long, ids binary")
 

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import crf
-from docloom.llm.tokens import slices, word_codes
+from docloom.llm.common import small_batches
+from docloom.llm.tokens import gathered, word_codes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -172,18 +173,18 @@ def judge(docs: DataFrame, model: crf.Crf | None, share: float = 0.5, id_col: st
     """doc_id, base counts, content_words, content_share, base_failed and kept of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                m = measures(part.column(1))
-                lengths = np.bincount(m["line_text"], minlength=part.num_rows)
-                good = np.ones(len(m["line_text"]), bool) if model is None else model.decode(m["features"], lengths) == 1
-                content = np.bincount(m["line_text"], m["line_words"] * good, part.num_rows).astype(np.int64)
-                ratio = content / np.maximum(1, m["n_words"])
-                failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-                longs = [pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-                yield pa.RecordBatch.from_arrays([part.column(0), *longs, pa.array(failed), pa.array(~failed & (ratio >= share)), pa.array(content), pa.array(ratio)], names)
+        for part in gathered(batches, 1, 4 << 20):
+            m = measures(part.column(1))
+            lengths = np.bincount(m["line_text"], minlength=part.num_rows)
+            good = np.ones(len(m["line_text"]), bool) if model is None else model.decode(m["features"], lengths) == 1
+            content = np.bincount(m["line_text"], m["line_words"] * good, part.num_rows).astype(np.int64)
+            ratio = content / np.maximum(1, m["n_words"])
+            failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+            longs = [pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+            yield pa.RecordBatch.from_arrays([part.column(0), *longs, pa.array(failed), pa.array(~failed & (ratio >= share)), pa.array(content), pa.array(ratio)], names)
 
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words", "content_share"]
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long, content_share double"

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import MemberFilter, Scratch
+from docloom.llm.common import MemberFilter, Scratch, small_batches
 
 BYTES = 8
 #: Rows of a posting list that one comparison holds on each side.
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long")
 

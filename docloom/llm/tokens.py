@@ -21,6 +21,29 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
         at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of about ``most_bytes`` of the column's text, whatever batches they came in."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in slices(batch, column, most_bytes):
+            own = part.column(column)
+            n = pc.sum(pc.binary_length(own)).as_py() or 0
+            if held and size + n > most_bytes:
+                yield _joined(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield _joined(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(code of each word, number of words of each text, the distinct words)."""
     texts = pc.fill_null(texts, "")

@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import in_fold
-from docloom.llm.tokens import slices, word_codes
+from docloom.llm.common import in_fold, small_batches
+from docloom.llm.tokens import gathered, word_codes
 
 BITS = 20
 SAMPLE, TERMS, FACTORS = 12_000, 4096, 8
@@ -42,7 +42,7 @@ def buckets(word: str) -> tuple[int, ...]:
     """Hashed terms of one word: itself and its stem."""
     found = _KNOWN.get(word)
     if found is None:
-        if len(_KNOWN) > 200_000:
+        if len(_KNOWN) > 100_000:
             _KNOWN.clear()
         bare = _EDGE.sub("", word.lower())
         names = {f"w:{bare}", *(f"s{n}:{bare[:n]}" for n in STEMS)} if bare else set()
@@ -182,18 +182,18 @@ def train(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray, terms: int =
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Train on labelled documents outside fold zero; the workers hash the terms."""
+    small_batches(docs.sparkSession)
     own = labels.select(F.col(id_col).alias("_id"), F.col("toxic").alias("label")).filter("_id is not null and label is not null")
     own = own.filter(~in_fold(F.col("_id"), folds))
     chosen = own.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                text, bucket = term_lists(part.column(1))
-                ends = np.searchsorted(text, np.arange(part.num_rows + 1))
-                raw = [bucket[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(raw, pa.binary())], ["_id", "label", "terms"])
+        for part in gathered(batches, 1, 4 << 20):
+            text, bucket = term_lists(part.column(1))
+            ends = np.searchsorted(text, np.arange(part.num_rows + 1))
+            raw = [bucket[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(raw, pa.binary())], ["_id", "label", "terms"])
 
     kind, label = (rows.schema[c].dataType.simpleString() for c in ("_id", "label"))
     got = rows.select("_id", "text", "label").mapInArrow(run, f"_id {kind}, label {label}, terms binary").collect()
@@ -208,13 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
 
 def score_table(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and score of every document, or its ``carry`` columns and score."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(text_col).alias("__text"), *([F.col(c) for c in carry] or [F.col(id_col).alias("doc_id")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 0, 4 << 20):
-                score = pa.array(model.score(part.column(0)))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], score], [*part.schema.names[1:], "score"])
+        for part in gathered(batches, 0, 4 << 20):
+            score = pa.array(model.score(part.column(0)))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], score], [*part.schema.names[1:], "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
     return narrow.mapInArrow(run, f"{fields}, score double")
