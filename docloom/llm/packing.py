@@ -30,7 +30,7 @@ from docloom.llm.tokens import gathered, word_codes
 
 DIMS, BITS = 4, 12
 #: Entries that one generation of a worker's memory holds.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Text that is tokenised at once.
 SLICE_BYTES = 4 << 20
 #: Fixed value: ASCII marks that the pre-tokenizer splits from letters before them.
