@@ -50,7 +50,7 @@ class RichText:
         self.slices = editor.typed((*self.path, "slices"), "arr")
 
     def live(self) -> list[tuple[int, int]]:
-        return self.editor.model.seq[self.node].live(self.node)
+        return self.editor.live(self.node)
 
     def text(self) -> str:
         return self.editor.model.view(self.node)
@@ -117,15 +117,15 @@ class RichText:
         if data is not None:
             cells.append(b.json(data))
         b.add("ins_vec", obj=at, value=[[k, c] for k, c in enumerate(cells)])
-        live = self.editor.model.seq[self.slices].live(self.slices)
-        b.add("ins_arr", obj=pair(self.slices), after=pair(live[-1] if live else self.slices), values=[at])
+        live = self.editor.live(self.slices)
+        place = (b.add("ins_arr", obj=pair(self.slices), after=pair(live[-1] if live else self.slices), values=[at])[1], b.sid)
         self.editor.apply()
+        live.append(place)
         return (at[1], at[0])
 
     def remove(self, slice_id: tuple[int, int]) -> None:
         own = self.editor.model.seq[self.slices]
-        live = own.live(self.slices)
-        for k, i in enumerate(live):
+        for k, i in enumerate(self.editor.live(self.slices)):
             if own.items[i] == slice_id:
                 self.editor.delete((), k, 1, self.slices)
                 return
@@ -135,7 +135,7 @@ class RichText:
         """Live slices in the array's order, with their ranges."""
         model: Model = self.editor.model
         own = model.seq[self.slices]
-        for i in own.live(self.slices):
+        for i in self.editor.live(self.slices):
             at = own.items[i]
             slots = model.slots[at]
             header, first = model.con[slots[0]], model.con[slots[1]]
