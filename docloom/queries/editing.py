@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import json_utils, random_data
 from docloom.operators import edit, richtext
 from docloom.queries.registry import query, table
-from docloom.sources import codecs, patches, wire  # noqa: F401  (wire registers its codecs)
+from docloom.sources import codecs, documents, patches, wire  # noqa: F401  (wire registers its codecs)
 
 
 def _parts(*parts: str | Column) -> Column:
@@ -140,3 +140,20 @@ def random_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("tree", "$.value").cast("int").between(0, 99).alias("nested"),
         F.try_parse_json("grown").isNotNull().alias("grown"),
     )
+
+
+@query("SELECT user_id, last AS binary, last AS compact, last AS compact_binary, last AS verbose FROM (SELECT user_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id)")
+def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded in every structural form and viewed from it."""
+    log, found = _writes(spark, sf_dir), None
+    for form in documents.FORMS:
+        views = documents.document_views(documents.encode_documents(log, "user_id", "patch", form), "user_id", "state", form)
+        own = views.select("user_id", F.get_json_object("view", "$.last").alias(form))
+        found = own if found is None else found.join(own, "user_id")
+    return found
+
+
+@query("SELECT user_id, CAST(1 + 1 + count(*) AS BIGINT) AS nodes FROM (SELECT user_id FROM events) GROUP BY user_id")
+def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table: a root, an object, and a constant an event."""
+    return documents.node_rows(_writes(spark, sf_dir), "user_id", "patch").groupBy("user_id").agg(F.count("*").alias("nodes"))
