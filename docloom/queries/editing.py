@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import json_utils, random_data
 from docloom.operators import edit, richtext
 from docloom.queries.registry import query, table
-from docloom.sources import codecs, documents, patches, wire  # noqa: F401  (wire registers its codecs)
+from docloom.sources import codecs, documents, literals, patches, wire  # noqa: F401  (wire registers its codecs)
 
 
 def _parts(*parts: str | Column) -> Column:
@@ -157,3 +157,11 @@ def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node table: a root, an object, and a constant an event."""
     return documents.node_rows(_writes(spark, sf_dir), "user_id", "patch").groupBy("user_id").agg(F.count("*").alias("nodes"))
+
+
+@query("SELECT event_id, true AS same FROM events")
+def literal_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trips of event properties through literal tables."""
+    props = F.col("props")
+    same = json_utils.deep_equal_column(literals.decompress_column(literals.compress_column(props)), props)
+    return table(spark, sf_dir, "events").select("event_id", same.alias("same"))

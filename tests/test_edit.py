@@ -94,6 +94,21 @@ def test_undo_of_deletions_keeps_concurrent_edits():
     assert E.history([]).view() is UNDEFINED
 
 
+def test_registers_and_counters_of_concurrent_sessions():
+    _, first = made({"r": ["old"], "c": {}})
+    log = [first]
+    for sid, value, by in ((8, "a", 2), (9, "b", 5)):
+        e = E.Editor(E.history([first]), sid)
+        e.run({"do": "register", "path": ["r"], "value": value})
+        e.count(["c"], by)
+        e.run({"do": "count", "path": ["c"], "by": -1})
+        log.append(e.flush())
+    e = E.Editor(E.history(log), 10)
+    assert sorted(e.get(["r"])) == ["a", "b"] and e.counted(["c"]) == 5
+    e.register_set(["r"], "c")
+    assert e.get(["r"]) == ["c"]
+
+
 def test_over_tables(spark):
     rows = [(d, json.dumps(Builder(7).root({"t": "ab", "n": d}).flush())) for d in (1, 2, 3)]
     patches = spark.createDataFrame(rows, "doc int, patch string")

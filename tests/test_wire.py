@@ -5,9 +5,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docloom.operators.crdt import Builder
+from docloom.sources import literals as L
 from docloom.sources import patches as P
 from docloom.sources import wire as W
-from docloom.sources.codecs import CODECS, CodecError, Reader, mpint
+from docloom.sources.codecs import CODECS, CodecError, Reader, mpint, wrap_binary
 
 VALUES = st.recursive(st.none() | st.booleans() | st.integers(-(2**63), 2**63 - 1) | st.floats(allow_nan=False) | st.text() | st.binary(max_size=40), lambda v: st.lists(v, max_size=4) | st.dictionaries(st.text(), v, max_size=4), max_leaves=15)
 
@@ -18,6 +19,22 @@ def test_ion_round_trip(value):
     assert W.ion_decode(W.ion_encode(value)) == value
 
 
+@settings(max_examples=200, deadline=None)
+@given(VALUES)
+def test_literal_tables(value):
+    value = wrap_binary(value)
+    own = L.table(value)
+    assert L.decompress(L.compress(value, own), own) == value
+
+
+def test_literal_layout():
+    value = {"b": [10, 3, 7, 3], "a": {"b": True}}
+    assert L.table(value) == [3, 4, 3, "a", "b", True]
+    assert list(L.compress(value, L.table(value)).items()) == [("3", {"4": 5}), ("4", [2, 0, 1, 0])]
+    with pytest.raises(CodecError):
+        L.compress([1], [2])
+
+
 def test_ion_vectors():
     assert W.ion_encode(-3).hex() == "e00100ea3103" and W.ion_encode(0).hex() == "e00100ea20"
     assert W.ion_encode({"a": 1}).hex() == "e00100ea" + "e78183d487b28161" + "d38a2101"
