@@ -109,6 +109,22 @@ def test_registers_and_counters_of_concurrent_sessions():
     assert e.get(["r"]) == ["c"]
 
 
+@pytest.mark.parametrize("container", ["ndjson", "seq.cbor"])
+def test_history_containers(container):
+    from docloom.sources import logs
+
+    _, first = made({"t": "a\u2028\nb👍", "n": [1, None]})
+    e = E.Editor(E.history([first]), 9)
+    e.run({"do": "del", "path": ["t"], "at": 0})
+    second = e.flush()
+    for start, patches in ((None, [second, first]), (E.history([first]), [second])):
+        data = logs.encode_history(logs.history_components(patches, {"by": "x"}, start), container)
+        got = logs.decode_history(data, container)
+        assert got["end"].view() == got["view"] == {"t": "\u2028\nb👍", "n": [1, None]} and got["metadata"] == {"by": "x"}
+        assert got["patches"] == sorted(patches, key=lambda p: p["id"][1])
+    assert logs.decode_history(logs.encode_history(logs.history_components([]), container), container)["view"] is None
+
+
 def test_over_tables(spark):
     rows = [(d, json.dumps(Builder(7).root({"t": "ab", "n": d}).flush())) for d in (1, 2, 3)]
     patches = spark.createDataFrame(rows, "doc int, patch string")
