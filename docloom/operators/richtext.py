@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.crdt import UNDEFINED, Model, from_units
-from docloom.operators.edit import EditError, Editor, history, pair
+from docloom.operators.edit import EditError, Editor, history, pair, spread
 
 # How slices stack, as the header's bits 2 to 4; bits 0 and 1 are the anchors.
 STACKING = {"marker": 0, "many": 1, "one": 2, "erase": 3, "cursor": 4}
@@ -165,7 +165,7 @@ def slice_rows(patches: DataFrame, doc: str, patch: str) -> DataFrame:
         frame = pd.DataFrame(out or [(names[0], text) + (None,) * 8], columns=columns)
         return frame.astype({c: "Int64" for c in ("slice_time", "slice_sid", "start", "stop")})
 
-    return patches.select(doc, patch).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, {ROW}")
+    return spread(patches.select(doc, patch), doc).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, {ROW}")
 
 
 def effective(slices: DataFrame, doc: str) -> DataFrame:
