@@ -222,3 +222,32 @@ def test_log_files(spark, tmp_path):
     logs.write_ndjson(spark.createDataFrame([('{"a":1}',), ("bad",)], "t string"), "t", str(tmp_path / "nd"))
     back = logs.read_ndjson(spark, str(tmp_path / "nd"))
     assert back.filter("doc is null").count() == 1 and back.count() == 2
+
+
+def test_many_edits_keep_unchanged_items():
+    old = [f"line {k}" for k in range(3000)]
+    new = [f"other {k}" if k % 10 == 5 else v for k, v in enumerate(old)]
+    found = diff.line_diff(old, new)
+    assert [k for k, _, _ in found].count("eql") == 2700 and [k for k, _, _ in found].count("mix") == 300
+    run = [f"new {k}" for k in range(250)]
+    found = diff.line_diff(old, [*old[:10], *run, *old[10:2000], "changed", *old[2001:]])
+    assert [k for k, _, _ in found].count("eql") == 2999 and [k for k, _, _ in found].count("ins") == 250
+    text = "".join(random.Random(3).choices("abcdefgh", k=2000))
+    b = "".join("X" if k % 5 == 0 else c for k, c in enumerate(text))
+    p = diff.diff(text, b)
+    assert (diff.patch_src(p), diff.patch_dst(p)) == (text, b) and sum(len(t) for k, t in p if k == diff.EQL) == 1600
+
+
+def test_shortest_scripts_by_either_search(monkeypatch):
+    rng = random.Random(7)
+    size = lambda runs: sum(x2 - x + y2 - y for k, x, x2, y, y2 in runs if k)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(0, 25))) for _ in range(2))
+        greedy = size(diff.script(a, b))
+        for limits in ((0, 1 << 26, 16), (0, 4, 2)):
+            with monkeypatch.context() as m:
+                for name, limit in zip(("GREEDY", "CELLS", "FREQUENT"), limits, strict=True):
+                    m.setattr(diff, name, limit)
+                assert size(diff.script(a, b)) == greedy
+                p = diff.diff(a, b)
+            assert (diff.patch_src(p), diff.patch_dst(p)) == (a, b)

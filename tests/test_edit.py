@@ -142,3 +142,16 @@ def test_over_tables(spark):
     old = E.advance(both, "doc", "patch", (1, 7))
     views = {r.doc: r.view for r in E.replay_from(old, fresh, "doc", "patch").collect()}
     assert json.loads(views[1]) == {"t": "abcd", "n": 1} and json.loads(views[3]) == {"t": "ab", "n": 3}
+
+
+def test_merge_of_many_edits_keeps_untouched_items():
+    text = "".join("abcdefgh"[k * k % 8] for k in range(1500))
+    model, _ = made({"t": text, "l": list(range(600))})
+    editor = E.Editor(model, 9)
+    new = {"t": "".join("X" if k % 5 == 0 else c for k, c in enumerate(text)), "l": [-1] * 251 + [*range(599), -2]}
+    editor.merge(new)
+    patch = editor.flush()
+    assert model.view() == new
+    written = sum(len(op["value"]) for op in patch["ops"] if op["op"] == "ins_str")
+    assert written == 300
+    assert sum(len(op.get("values") or op["value"]) for op in patch["ops"] if op["op"] == "ins_arr") <= 252
