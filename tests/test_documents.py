@@ -251,3 +251,18 @@ def test_shortest_scripts_by_either_search(monkeypatch):
                 assert size(diff.script(a, b)) == greedy
                 p = diff.diff(a, b)
             assert (diff.patch_src(p), diff.patch_dst(p)) == (a, b)
+
+
+def test_patch_diff_keeps_unchanged_parts():
+    text = "a" * 20 + "0123456789" * 30 + "b" * 20
+    new = "Xa" + text[2:-1] + "Y"
+    ops = patch.diff({"t": text}, {"t": new})
+    assert patch.apply_ops({"t": text}, ops)[0] == {"t": new}
+    assert sum(len(o.get("str", "")) + o.get("len", 0) for o in ops) == 4
+    old = [{"id": k} for k in range(50)]
+    changed = [{"id": -1}, *old[:49], {"id": 99}]
+    ops = patch.diff(old, changed)
+    assert patch.apply_ops(old, ops)[0] == changed
+    assert ops == [{"op": "add", "path": "/0", "value": {"id": -1}}, {"op": "replace", "path": "/50/id", "value": 99}]
+    kept = patch.transform(patch.diff({"t": text}, {"t": new}), [{"op": "str_ins", "path": "/t", "pos": 100, "str": "Z"}])
+    assert patch.apply_ops({"t": new}, kept)[0] == {"t": new[:100] + "Z" + new[100:]}
