@@ -17,6 +17,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -73,18 +74,17 @@ def term_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return expand(np.repeat(np.arange(len(counts)), counts), codes, distinct)
 
 
-def one_of_copies(lists: list[np.ndarray], least: int = 4) -> list[int]:
-    """Positions of the first list of each group that shares its ``least`` smallest mixed terms.
+def one_of_copies(lists: list[np.ndarray], labels: list) -> list[int]:
+    """Positions of the first of the lists that have equal terms and equal labels.
 
     Copies would otherwise lend their text's chance words the weight of many documents.
     """
-    seen: set[tuple[int, ...]] = set()
+    seen: set[tuple[bytes, object]] = set()
     out = []
-    for k, own in enumerate(lists):
-        mixed = (own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-        sketch = tuple(np.sort(mixed)[:least].tolist())
-        if sketch not in seen:
-            seen.add(sketch)
+    for k, (own, label) in enumerate(zip(lists, labels, strict=True)):
+        key = hashlib.blake2b(own.tobytes(), digest_size=16).digest(), label
+        if key not in seen:
+            seen.add(key)
             out.append(k)
     return out
 
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     got = rows.select("_id", "text", "label").mapInArrow(run, f"_id {kind}, label {label}, terms binary").collect()
     got = sorted({r["_id"]: r for r in sorted(got, key=lambda r: bytes(r["terms"]))}.values(), key=lambda r: r["_id"])
     lists = [np.frombuffer(r["terms"], "<u4").astype(np.int64) for r in got]
-    single = one_of_copies(lists)
+    single = one_of_copies(lists, [r["label"] for r in got])
     got, lists = [got[k] for k in single], [lists[k] for k in single]
     text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     bucket = np.concatenate(lists) if lists else np.zeros(0, np.int64)

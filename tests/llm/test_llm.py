@@ -340,6 +340,15 @@ def test_toxicity_learns_a_pair(spark):
     assert got[0] > 0.5 > got[1:].max()
 
 
+def test_toxicity_leaves_out_equal_rows_only():
+    shared, rng = "a b c d e f g h", np.random.default_rng(4)
+    rows = [f"{shared} " + " ".join(f"x{k}" for k in rng.integers(0, 5000, 6)) for _ in range(200)]
+    rows += [rows[0], rows[1]]
+    text, bucket = toxicity.term_lists(pa.array(rows, pa.string()))
+    lists = [bucket[text == k] for k in range(len(rows))]
+    assert toxicity.one_of_copies(lists, [0] * 200 + [0, 1]) == [*range(200), 201]
+
+
 def test_toxicity(odd, spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
