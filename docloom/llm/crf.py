@@ -1,6 +1,7 @@
 """Linear-chain conditional random field with two labels over hashed features.
 
-An item is a row of a fixed number of feature indices; index 0 is the empty feature.
+An item is a row of a fixed number of feature indices, or of its own number (``Ragged``);
+index 0 is the empty feature.
 Training maximises the exact conditional likelihood by full-batch Adam with the
 forward-backward recursions run over all sequences at once; decoding is Viterbi.
 """
@@ -26,16 +27,34 @@ def slot(feature: str, size: int) -> int:
     return found
 
 
+@dataclass
+class Ragged:
+    """Feature indices of items one after another, and how many each item has, one at least."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    @staticmethod
+    def join(parts: list[Ragged]) -> Ragged:
+        none = np.zeros(0, np.int32)
+        return Ragged(np.concatenate([none, *(p.flat for p in parts)]), np.concatenate([none, *(p.sizes for p in parts)]))
+
+
 @dataclass
 class Crf:
     weights: np.ndarray  # (features, 2)
     moves: np.ndarray  # (2, 2), from and to
     start: np.ndarray  # (2,)
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
+    def scores(self, rows: np.ndarray | Ragged) -> np.ndarray:
+        if isinstance(rows, Ragged):
+            return np.add.reduceat(self.weights[rows.flat], np.cumsum(rows.sizes) - rows.sizes, axis=0)
         return self.weights[rows].sum(axis=1)
 
-    def decode(self, rows: np.ndarray, lengths: Sequence[int], cells: int = 1 << 20) -> np.ndarray:
+    def decode(self, rows: np.ndarray | Ragged, lengths: Sequence[int], cells: int = 1 << 20) -> np.ndarray:
         """Viterbi labels of all items of consecutive sequences; long ones in groups of their own."""
         lengths = np.asarray(lengths, np.int64)
         starts = np.cumsum(lengths) - lengths
@@ -68,7 +87,7 @@ class Crf:
             label = np.where(live, back[t, np.arange(n), label], label) if t else label
 
 
-def train(rows: np.ndarray, labels: np.ndarray, lengths: Sequence[int], size: int, epochs: int = 120, rate: float = 0.1, ridge: float = 1e-4) -> Crf:
+def train(rows: np.ndarray | Ragged, labels: np.ndarray, lengths: Sequence[int], size: int, epochs: int = 120, rate: float = 0.1, ridge: float = 1e-4) -> Crf:
     """Fit to labelled sequences; deterministic."""
     lengths = np.asarray(lengths, np.int64)
     starts = (np.cumsum(lengths) - lengths)[lengths > 0]
@@ -100,8 +119,8 @@ def train(rows: np.ndarray, labels: np.ndarray, lengths: Sequence[int], size: in
         expected = np.where(pairs[:, :, None, None], np.exp(np.minimum(both, 0)), 0).sum(axis=(0, 1))
         residual = np.zeros((items, 2))
         residual[at[live]] = marginal[live] - gold[at[live]]
-        flat = rows.ravel()
-        wide = np.repeat(residual, rows.shape[1], axis=0)
+        flat, sizes = (rows.flat, rows.sizes) if isinstance(rows, Ragged) else (rows.ravel(), rows.shape[1])
+        wide = np.repeat(residual, sizes, axis=0)
         grad_w = np.stack([np.bincount(flat, wide[:, k], size) for k in range(2)], axis=1)
         grad_w[0] = 0
         grads = [grad_w / n + ridge * model.weights, (expected - gold_moves) / n, (marginal[:, 0] - gold[starts]).sum(axis=0) / n]

@@ -32,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template svg math iframe object textarea select datalist canvas audio video head title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
 
-SIZE, WIDTH = 1 << 13, 40
+SIZE = 1 << 13
 
 
 class _Blocks(HTMLParser):
@@ -119,9 +119,10 @@ def blocks(html: str | None) -> list[tuple]:
     return parser.blocks
 
 
-def features(found: list[tuple]) -> np.ndarray:
-    """(blocks, WIDTH) feature indices."""
-    rows = np.zeros((len(found), WIDTH), np.int32)
+def features(found: list[tuple]) -> crf.Ragged:
+    """Feature indices of every block, all of them."""
+    flat: list[int] = []
+    sizes = np.zeros(len(found), np.int32)
     for k, (text, tags, names, linked, _) in enumerate(found):
         words = text.count(" ") + 1
         own = {
@@ -137,9 +138,9 @@ def features(found: list[tuple]) -> np.ndarray:
         own.update(f"name={w}" for w in names)
         own.update(f"near={w}" for w in names[-3:])
         own.update(f"stem={w[:7]}" for w in names)
-        chosen = sorted(own)[:WIDTH]
-        rows[k, : len(chosen)] = [crf.slot(f, SIZE) for f in chosen]
-    return rows
+        flat += [crf.slot(f, SIZE) for f in sorted(own)]
+        sizes[k] = len(own)
+    return crf.Ragged(np.array(flat, np.int32), sizes)
 
 
 # Names that page templates commonly give to the parts of a page.
@@ -234,7 +235,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
 def fit(pages: list[str] | None = None) -> crf.Crf:
     """Train on labelled pages; by default those of ``labelled_pages``."""
     found = [blocks(p) for p in pages or labelled_pages()]
-    rows = np.concatenate([features(f) for f in found])
+    rows = crf.Ragged.join([features(f) for f in found])
     labels = np.array([b[4] == "1" for f in found for b in f], np.int64)
     return crf.train(rows, labels, [len(f) for f in found], SIZE)
 
@@ -242,7 +243,7 @@ def fit(pages: list[str] | None = None) -> crf.Crf:
 def extract(html: list[str | None], model: crf.Crf) -> list[str]:
     """Main texts of several pages."""
     found = [blocks(h) for h in html]
-    rows = np.concatenate([features(f) for f in found]) if found else np.zeros((0, WIDTH), np.int32)
+    rows = crf.Ragged.join([features(f) for f in found])
     label = model.decode(rows, [len(f) for f in found]).tolist()
     out, at = [], 0
     for own in found:

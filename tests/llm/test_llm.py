@@ -282,6 +282,16 @@ def test_extraction_on_unseen_templates(extractor):
     assert right / total > 0.97
 
 
+def test_extraction_counts_every_feature(extractor):
+    names = " ".join("a" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(60))
+    found = html_extract.blocks(f'<div class="{names} widget sidebar"><p>one two</p></div><p>three')
+    rows = html_extract.features(found)
+    wide = rows.flat[: rows.sizes[0]].tolist()
+    assert len(rows) == 2 and rows.sizes[0] > 120
+    assert {html_extract.crf.slot(f, html_extract.SIZE) for f in ("name=sidebar", "name=widget", "near=sidebar", "stem=widget", "words=2")} <= set(wide)
+    assert np.allclose(extractor.scores(rows)[0], extractor.weights[wide].sum(axis=0))
+
+
 def test_extraction(extractor, spark, sf):
     odd_pages = [None, "", "plain", "<p>a &amp; b\n c", "<article><p>x<b>y</b>z<script>no()</script><![CDATA[q]]><p>&eacute; two three four five</article", "<" * 50]
     assert len(html_extract.extract(odd_pages, extractor)) == len(odd_pages)
