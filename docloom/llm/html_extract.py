@@ -3,7 +3,8 @@
 A leaf block is a run of text between block-level boundaries. Its features are its
 ancestors' tags, the words of their class and id attributes, and the text's shape; the CRF
 is trained on labelled pages and decoded by Viterbi, and the blocks marked as content are
-joined in page order. Text inside scripts, styles and the like is never a block.
+joined in page order. Text inside scripts, styles, templates, the head and form controls
+is never a block; formulas belong to the block around them.
 
 Labelled pages mark elements with data-main="1" or "0". Where no labelled collection is
 given, ``labelled_pages`` writes one from page templates with a fixed seed.
@@ -29,8 +30,8 @@ from docloom.llm import crf
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object textarea select datalist canvas audio video head title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br".split())
+HIDDEN = frozenset("script style template textarea select datalist head title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace semantics annotation".split())
 
 SIZE = 1 << 13
 

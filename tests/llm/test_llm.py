@@ -292,6 +292,15 @@ def test_extraction_counts_every_feature(extractor):
     assert np.allclose(extractor.scores(rows)[0], extractor.weights[wide].sum(axis=0))
 
 
+def test_extraction_sees_formulas_and_fallbacks(extractor):
+    page = "<article><h1>Squares</h1><p>The area is <math><mi>a</mi><mo>=</mo><msup><mi>x</mi><mn>2</mn></msup></math> for every square of the plane.</p>{}<p>The next one is longer and ends here.</p></article>"
+    assert html_extract.extract([page.format("")], extractor) == ["Squares The area is a=x2 for every square of the plane. The next one is longer and ends here."]
+    for tag in ("noscript", "object", "audio", "video", "canvas", "svg"):
+        assert any(b[0] == "seen by the model" for b in html_extract.blocks(page.format(f"<{tag}>seen by the model</{tag}>")))
+    for tag in ("script", "style", "template", "textarea", "select"):
+        assert not any("unseen" in b[0] for b in html_extract.blocks(page.format(f"<{tag}>unseen</{tag}>")))
+
+
 def test_extraction(extractor, spark, sf):
     odd_pages = [None, "", "plain", "<p>a &amp; b\n c", "<article><p>x<b>y</b>z<script>no()</script><![CDATA[q]]><p>&eacute; two three four five</article", "<" * 50]
     assert len(html_extract.extract(odd_pages, extractor)) == len(odd_pages)
