@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +21,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or os.path.join(tempfile.gettempdir(), "docloom-shared")
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "docloom-shared")
 
 
 class Scratch:
     """Tables of one operator run under the shared folder.
 
     Writing a table there cuts the lineage at a committed output, so a lost executor costs
-    the tasks it ran and nothing before the table.
+    the tasks it ran and nothing before the table. What is not dropped before is deleted when
+    the driver ends, as results may still read it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
+        system, path = self._store(self.root)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _store(self, name: str):
+        """Hadoop's file system of a path, so any shared store works, and the path."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,17 +61,38 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        """Delete a consumed table through Hadoop's file system, so any shared store works."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete a consumed table."""
+        system, path = self._store(self.path(name))
+        system.delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows an Arrow batch: texts are long, and both sides of the exchange hold a batch of each task."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows an Arrow batch for the tables saved inside: texts are long, and both sides of
+    the exchange hold a batch of each task. The session's setting is restored."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def in_one_task(rows: DataFrame, make: Callable[[pa.Table], bytes], *order: Column | str) -> bytes:
+    """``make`` of all the rows, in that order, in one executor task; for samples of proven size."""
+    kinds = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            made = make(pa.Table.from_batches(held).select(kinds))
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
+
+    one = rows.repartition(1)
+    found = (one.sortWithinPartitions(*order) if order else one).mapInArrow(run, "made binary").first()
+    return make(pa.table({c: [] for c in kinds})) if found is None else bytes(found["made"])
 
 
 def shuffle_width(spark: SparkSession) -> int:

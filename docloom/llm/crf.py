@@ -55,14 +55,17 @@ class Crf:
         return self.weights[rows].sum(axis=1)
 
     def decode(self, rows: np.ndarray | Ragged, lengths: Sequence[int], cells: int = 1 << 20) -> np.ndarray:
-        """Viterbi labels of all items of consecutive sequences; long ones in groups of their own."""
+        """Viterbi labels of all items of consecutive sequences."""
+        return self.viterbi(self.scores(rows) if len(rows) else np.zeros((0, 2)), lengths, cells)
+
+    def viterbi(self, scores: np.ndarray, lengths: Sequence[int], cells: int = 1 << 20) -> np.ndarray:
+        """Viterbi labels from the items' label scores; long sequences in groups of their own."""
         lengths = np.asarray(lengths, np.int64)
         starts = np.cumsum(lengths) - lengths
-        out = np.zeros(len(rows), np.int8)
+        out = np.zeros(len(scores), np.int8)
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
         at = 0
-        scores = self.scores(rows) if len(rows) else np.zeros((0, 2))
         while at < len(order):
             end = at + 1
             while end < len(order) and (end - at + 1) * lengths[order[end]] <= cells:

@@ -10,16 +10,18 @@ Labelled pages mark elements with data-main="1" or "0". Where no labelled collec
 given, ``labelled_pages`` writes one from page templates with a fixed seed.
 
 Defined cases: a null or empty page, or one without content blocks, has empty text;
-broken markup is read as far as it goes; repeated rows are extracted alike; an empty table
-gives an empty result; extra columns are ignored.
+broken markup is read as ``markup.tokens`` defines; repeated rows are extracted alike; very
+long or deep pages are extracted whole, in time linear in their size; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,121 +29,197 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import crf
+from docloom.llm.markup import attributes, tokens
+from docloom.llm.tokens import slices
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template textarea select datalist head title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img br math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace semantics annotation".split())
 
+HEAD = frozenset("html head title base link meta script style template noscript".split())
+#: Elements that a start tag closes, and those that such a close does not reach beyond.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+STOPS = ("ul", "ol", "dl", "table", "div", "section", "article")
+P_STOPS = ("div", "td", "li", "section", "article", "blockquote")
+
 SIZE = 1 << 13
+#: Pages that are extracted at once.
+SLICE_BYTES = 2 << 20
+
+
+@dataclass
+class Page:
+    """Leaf blocks of a page. A block's features are its own and those of its chain of ancestors;
+    a chain node holds the features that its ancestors lack, so deep pages stay linear."""
+
+    texts: list[str]
+    labels: list[str | None]
+    chains: list[int]
+    own: list[list[int]]
+    parents: list[int]
+    added: list[list[int]]
 
+    def chain(self, node: int) -> list[int]:
+        out = []
+        while node >= 0:
+            out += self.added[node]
+            node = self.parents[node]
+        return out
 
-class _Blocks(HTMLParser):
-    """Leaf blocks as (text, tags, attribute words, link characters, label)."""
 
+#: An open element: tag, chain node, last names, innermost block tag, label, and the slots it counts.
+_Open = tuple[str, int, tuple[str, ...], str, str | None, list[int]]
+
+
+class _Parser:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...], str | None]] = []
-        self.hidden = 0
-        self.links = 0
+        self.page = Page([], [], [], [], [-1], [[]])
+        self.stack: list[_Open] = [("", 0, (), "", None, [])]
+        self.open: dict[str, list[int]] = {}
+        self.counted: dict[int, int] = {}
+        self.hidden = self.links = self.linked = 0
         self.parts: list[str] = []
-        self.linked = 0
-        self.blocks: list[tuple[str, tuple[str, ...], tuple[str, ...], int, str | None]] = []
 
-    def _flush(self) -> None:
+    def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                label = next((m for _, _, m in reversed(self.stack) if m is not None), None)
-                own = [s for s in self.stack if s[0] not in INLINE]
-                self.blocks.append((text, tuple(s[0] for s in own), tuple(w for s in own for w in s[1]), self.linked, label))
+                _, node, near, leaf, label, _ = self.stack[-1]
+                page = self.page
+                own = {
+                    f"leaf={leaf}",
+                    f"words={min((text.count(' ') + 1).bit_length(), 8)}",
+                    f"links={min(4, 5 * self.linked // len(text))}",
+                    f"stop={text[-1] if text[-1] in '.!?:,;' else ''}",
+                    f"mark={'©' in text or '|' in text or '·' in text or '»' in text}",
+                    "bias",
+                    *(f"near={w}" for w in near),
+                }
+                page.texts.append(text)
+                page.labels.append(label)
+                page.chains.append(node)
+                page.own.append([crf.slot(f, SIZE) for f in sorted(own)])
             self.parts, self.linked = [], 0
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def start(self, tag: str, inside: str) -> None:
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag not in INLINE:
-            self._flush()
+        inline = tag in INLINE
+        if not inline:
+            self.flush()
+            if tag not in HEAD and self.open.get("head"):
+                self.pop_to("head")
             if tag == "body":
-                while self.stack and self.stack[-1][0] not in ("html",):
-                    self._pop()
-            closes = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-            if any(s[0] == "p" for s in self.stack[-6:]) and tag not in VOID:
-                self._close("p", ("div", "td", "li", "section", "article", "blockquote"))
-            if closes:
-                self._close(closes, ("ul", "ol", "dl", "table", "div", "section", "article"))
+                while self.stack[-1][0] not in ("", "html"):
+                    self.pop()
+            if tag not in VOID and self.open.get("p"):
+                self.close(("p",), P_STOPS)
+            if tag in CLOSES:
+                self.close(CLOSES[tag], STOPS)
         if tag in VOID:
             return
-        found = {k: v or "" for k, v in attrs}
-        names = tuple(w for k in ("class", "id", "role") if k in found for w in re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", found[k]).lower()))
-        self.stack.append((tag, names, found.get("data-main")))
+        found = attributes(inside) if inside else {}
+        _, node, near, leaf, label, _ = self.stack[-1]
+        slots: list[int] = []
+        if not inline:
+            names = [w for k in ("class", "id", "role") if k in found for w in re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", found[k]).lower())]
+            slots = list({crf.slot(f, SIZE) for f in (f"in={tag}", *(f"name={w}" for w in names), *(f"stem={w[:7]}" for w in names))})
+            added = [s for s in slots if not self.counted.get(s)]
+            for s in slots:
+                self.counted[s] = self.counted.get(s, 0) + 1
+            if added:
+                self.page.parents.append(node)
+                self.page.added.append(added)
+                node = len(self.page.parents) - 1
+            near, leaf = (*near, *names)[-3:], tag
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, node, near, leaf, found.get("data-main", label), slots))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
-    def _pop(self) -> None:
-        tag = self.stack.pop()[0]
+    def pop(self) -> None:
+        tag, *_, slots = self.stack.pop()
+        self.open[tag].pop()
+        for s in slots:
+            self.counted[s] -= 1
         self.hidden -= tag in HIDDEN
         self.links -= tag == "a"
 
-    def _close(self, tags, stops: tuple[str, ...]) -> None:
-        tags = (tags,) if isinstance(tags, str) else tags
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if self.stack[k][0] in stops:
-                return
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
-            self._flush()
-        if any(s[0] == tag for s in self.stack):
-            while self.stack[-1][0] != tag:
-                self._pop()
-            self._pop()
+    def pop_to(self, tag: str) -> None:
+        at = self.open[tag][-1]
+        while len(self.stack) > at:
+            self.pop()
 
-    def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((own[-1] for t in tags if (own := self.open.get(t))), default=0)
 
-    def handle_data(self, data: str) -> None:
+    def close(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        """Close the innermost of some tags unless a stop lies inside it."""
+        at = self.last(tags)
+        if at > self.last(stops):
+            while len(self.stack) > at:
+                self.pop()
+
+    def end(self, tag: str) -> None:
+        if tag not in INLINE:
+            self.flush()
+        if self.open.get(tag):
+            self.pop_to(tag)
+
+    def text(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and not data.isspace():
+            self.pop()
         if not self.hidden:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
 
 
-def blocks(html: str | None) -> list[tuple]:
-    parser = _Blocks()
-    parser.feed((html or "").replace("<![", "<! ["))
-    parser.close()
-    parser._flush()
-    return parser.blocks
-
-
-def features(found: list[tuple]) -> crf.Ragged:
-    """Feature indices of every block, all of them."""
-    flat: list[int] = []
-    sizes = np.zeros(len(found), np.int32)
-    for k, (text, tags, names, linked, _) in enumerate(found):
-        words = text.count(" ") + 1
-        own = {
-            f"leaf={tags[-1] if tags else ''}",
-            f"words={min(words.bit_length(), 8)}",
-            f"links={min(4, 5 * linked // max(1, len(text)))}",
-            f"stop={text[-1] if text[-1] in '.!?:,;' else ''}",
-            f"mark={'©' in text or '|' in text or '·' in text or '»' in text}",
-            f"place={'first' if k == 0 else 'last' if k == len(found) - 1 else ''}",
-            "bias",
-        }
-        own.update(f"in={t}" for t in tags)
-        own.update(f"name={w}" for w in names)
-        own.update(f"near={w}" for w in names[-3:])
-        own.update(f"stem={w[:7]}" for w in names)
-        flat += [crf.slot(f, SIZE) for f in sorted(own)]
-        sizes[k] = len(own)
-    return crf.Ragged(np.array(flat, np.int32), sizes)
+def blocks(html: str | None) -> Page:
+    parser = _Parser()
+    for kind, name, inside in tokens(html or ""):
+        if kind == "text":
+            parser.text(name)
+        elif kind == "start":
+            parser.start(name, inside)
+        else:
+            parser.end(name)
+    parser.flush()
+    page = parser.page
+    for k, own in enumerate(page.own):
+        own.append(crf.slot(f"place={'first' if k == 0 else 'last' if k == len(page.own) - 1 else ''}", SIZE))
+    return page
+
+
+def features(page: Page) -> crf.Ragged:
+    """All feature indices of every block, its chain's included; for pages that models train on."""
+    rows = [own + page.chain(node) for own, node in zip(page.own, page.chains, strict=True)]
+    return crf.Ragged(np.array([f for r in rows for f in r], np.int32), np.array([len(r) for r in rows], np.int32))
+
+
+def scores(pages: list[Page], model: crf.Crf) -> np.ndarray:
+    """Label scores of all blocks of the pages; every chain node is summed once."""
+
+    def sums(lists: list[list[int]]) -> np.ndarray:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((f for own in lists for f in own), np.int64, int(sizes.sum()))
+        out, some = np.zeros((len(lists), 2)), sizes > 0
+        if some.any():
+            out[some] = np.add.reduceat(model.weights[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
+        return out
+
+    chain = sums([a for p in pages for a in p.added]).tolist()
+    at, node = 0, []
+    for p in pages:
+        for k in range(1, len(p.parents)):  # a parent comes before its children
+            up, own = chain[at + p.parents[k]], chain[at + k]
+            own[0] += up[0]
+            own[1] += up[1]
+        node += [at + c for c in p.chains]
+        at += len(p.parents)
+    return sums([o for p in pages for o in p.own]) + np.array(chain).reshape(-1, 2)[np.array(node, np.int64)]
 
 
 # Names that page templates commonly give to the parts of a page.
@@ -234,22 +312,30 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[str]:
 
 
 def fit(pages: list[str] | None = None) -> crf.Crf:
-    """Train on labelled pages; by default those of ``labelled_pages``."""
-    found = [blocks(p) for p in pages or labelled_pages()]
+    """Train on labelled pages; by default those of ``labelled_pages``, once a session."""
+    return _fit(tuple(pages)) if pages else _default()
+
+
+def _fit(pages: tuple[str, ...]) -> crf.Crf:
+    found = [blocks(p) for p in pages]
     rows = crf.Ragged.join([features(f) for f in found])
-    labels = np.array([b[4] == "1" for f in found for b in f], np.int64)
-    return crf.train(rows, labels, [len(f) for f in found], SIZE)
+    labels = np.array([m == "1" for f in found for m in f.labels], np.int64)
+    return crf.train(rows, labels, [len(f.texts) for f in found], SIZE)
+
+
+@functools.cache
+def _default() -> crf.Crf:
+    return _fit(tuple(labelled_pages()))
 
 
 def extract(html: list[str | None], model: crf.Crf) -> list[str]:
     """Main texts of several pages."""
     found = [blocks(h) for h in html]
-    rows = crf.Ragged.join([features(f) for f in found])
-    label = model.decode(rows, [len(f) for f in found]).tolist()
+    label = model.viterbi(scores(found, model), [len(f.texts) for f in found]).tolist()
     out, at = [], 0
     for own in found:
-        out.append(" ".join(b[0] for b, keep in zip(own, label[at : at + len(own)], strict=True) if keep))
-        at += len(own)
+        out.append(" ".join(t for t, keep in zip(own.texts, label[at : at + len(own.texts)], strict=True) if keep))
+        at += len(own.texts)
     return out
 
 
@@ -259,8 +345,7 @@ def extract_table(pages: DataFrame, model: crf.Crf | None = None, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, 2, SLICE_BYTES):
                 text = extract(part.column(2).to_pylist(), model)
                 arrays = [part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])

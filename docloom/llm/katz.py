@@ -372,12 +372,12 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "katz")
     width = max(1, shuffle_width(spark))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    first = scratch.save(blocks(narrow, width, folds), "blocks", "kind")
+    with small_batches(spark):
+        first = scratch.save(blocks(narrow, width, folds), "blocks", "kind")
     if first.isEmpty():
         return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

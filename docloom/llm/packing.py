@@ -6,12 +6,14 @@ and sorted by that index, and each partition is packed by concatenating neighbou
 cutting at the sequence length, so only a partition's last tokens could need padding;
 these are cut into powers of two, which need none.
 
-Copies share a place on the curve; a hash of the id breaks the tie, in the range
-partitioning too, so a large group of copies spreads over partitions. Token ids are
-computed once and written to the shared folder before the range partitioning samples them.
+Copies share a place on the curve; a hash of the id and the row breaks the tie, in the range
+partitioning too, so a large group of copies spreads over partitions, also where ids are
+equal or null. Token ids are computed once and written to the shared folder before the
+range partitioning samples them.
 
 Defined cases: a null or empty text is the end token alone; null ids and repeated rows are
-packed like any row; an empty table gives an empty result; extra columns are ignored.
+packed like any row; a very long text is tokenised whole, in a slice of its own; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ REMEMBERED = 120_000
 SLICE_BYTES = 4 << 20
 #: Fixed value: ASCII marks that the pre-tokenizer splits from letters before them.
 MARKS = ".,;:!?*&%$#|"
+#: Fixed value: letters with one composed and one lower form each, up to U+017F but for U+0130.
+PLAIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]+$"
 
 _WORKER: dict = {}
 
@@ -50,11 +54,11 @@ class ChunkTokenizer:
     """Token ids of whole texts by their white-space-delimited chunks.
 
     Valid for tokenizers that drop white space and never join over it, such as word-level
-    BPE with word ends. A run of letters with marks after it is two parts, as the
-    pre-tokenizer splits it; each distinct part of a slice is encoded once, and frequent
-    parts are remembered in two generations, so memory is bounded. Letters up to U+017F
-    have one composed and one lower form each, so they go to the model directly; all else
-    goes through the whole tokenizer.
+    BPE with word ends. A run of ``PLAIN`` letters with marks after it is two parts, as the
+    pre-tokenizer splits it, and such letters go to the model directly; all else goes
+    through the whole tokenizer as it stands, since its composed or lower form may end in a
+    mark that joins the next ones. Each distinct part of a slice is encoded once, and
+    frequent parts are remembered in two generations, so memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -92,7 +96,7 @@ class ChunkTokenizer:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         letters = pc.ascii_rtrim(distinct, characters=MARKS)
-        split = pc.and_(pc.utf8_is_alpha(letters), pc.less(pc.binary_length(letters), pc.binary_length(distinct)))
+        split = pc.and_(pc.match_substring_regex(letters, PLAIN), pc.less(pc.binary_length(letters), pc.binary_length(distinct)))
         heads = pc.if_else(split, letters, distinct)
         heads = pc.if_else(pc.string_is_ascii(heads), pc.ascii_lower(heads), heads).dictionary_encode()
         at = np.asarray(pc.binary_length(letters)).astype(np.int64)
@@ -170,7 +174,7 @@ def curve_place(ids: np.ndarray, counts: np.ndarray, plane: np.ndarray) -> np.nd
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, place on the curve, and the little-endian 32-bit ids with the end token."""
+    """doc_id, place on the curve, tie breaker, and the little-endian 32-bit ids with the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
@@ -182,11 +186,11 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
             closed = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             offsets = np.concatenate([[0], np.cumsum(4 * (counts + 1))]).astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(closed)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(place), raw], ["doc_id", "place", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(place), part.column(2), raw], ["doc_id", "place", "tie", "ids"])
 
-    small_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, place long, ids binary")
+    tie = F.xxhash64(F.col(id_col), F.monotonically_increasing_id())
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), tie.alias("tie"))
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, place long, tie long, ids binary")
 
 
 def cut_tail(n: int) -> list[int]:
@@ -197,9 +201,9 @@ def cut_tail(n: int) -> list[int]:
 def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset."""
     scratch = Scratch(docs.sparkSession, "pack")
-    rows = scratch.save(tokenised(docs, path, end_id, id_col, text_col), "tokens", compression="zstd")
-    tie = F.xxhash64("doc_id")
-    ranged = rows.repartitionByRange(shuffle_width(docs.sparkSession), "place", tie).sortWithinPartitions("place", tie, "doc_id", F.length("ids"))
+    with small_batches(docs.sparkSession):
+        rows = scratch.save(tokenised(docs, path, end_id, id_col, text_col), "tokens", compression="zstd")
+    ranged = rows.repartitionByRange(shuffle_width(docs.sparkSession), "place", "tie").sortWithinPartitions("place", "tie", "doc_id", F.length("ids"))
     ranged = ranged.select("doc_id", "ids", F.spark_partition_id().alias("part"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

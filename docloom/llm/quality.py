@@ -5,17 +5,19 @@ shape; Viterbi decodes the whole sequence, and the share of words in content lin
 whether the text stays. Base counts of words, symbols, repeated lines and repeated 8-word
 windows are exact over the whole text.
 
-The CRF is trained on a bounded sample of labelled documents (``sample`` rows, those with
-the smallest hash of their id), each line taking its document's quality label. Without
-labels every line is content.
+The CRF is trained on a bounded sample of labelled documents (at most ``sample`` rows, those
+with the smallest hash of their id, and ``most_lines`` lines). Labels are of documents, so
+the lines' labels are latent: see ``train``. Without labels every line is content.
 
 Defined cases: a null or blank text has no words and fails the base rule; lines without a
-word are neither content nor boilerplate; equal rows get equal results; an empty table
-gives an empty result; extra columns are ignored.
+word are neither content nor boilerplate; equal rows get equal results; of rows that share a
+labelled id one trains, the same in every run; very long texts are judged whole, in a batch
+of their own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import crf
-from docloom.llm.common import small_batches
+from docloom.llm.common import Scratch, in_one_task, small_batches
 from docloom.llm.tokens import gathered, word_codes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 SIZE, WIDTH = 1 << 12, 14
-SAMPLE = 4000
+#: Bounds of the labelled sample: documents, and lines of all documents together.
+SAMPLE, MOST_LINES = 4000, 400_000
 
 # Classes of bytes; a byte of 0x80 and above is a letter or part of one.
 _CLASS = np.zeros((7, 256), np.int64)
@@ -150,23 +153,88 @@ def _repeated_words(codes: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str | None], good: list[int]) -> crf.Crf | None:
-    """Train on documents whose lines share the document's label (1 content, 0 boilerplate)."""
+    """Train on labelled documents (1 good, 0 poor)."""
     found = measures(pa.array(texts, pa.large_string()))
-    if not len(found["features"]):
-        return None
-    labels = np.asarray(good, np.int64)[found["line_text"]]
     lengths = np.bincount(found["line_text"], minlength=len(texts))
+    return train(found["features"], found["line_words"], lengths, np.asarray(good, np.int64))
+
+
+def train(features: np.ndarray, line_words: np.ndarray, lengths: np.ndarray, good: np.ndarray, share: float = 0.5, rounds: int = 2, epochs: int = 60) -> crf.Crf | None:
+    """Train on lines whose labels are latent: only their document's label is known.
+
+    Lines start with their document's label. After each round the model labels the lines of
+    the sample itself, and its labels replace the old ones in every document whose verdict
+    by content share they leave right, so a good document keeps boilerplate lines and a poor
+    one content lines.
+    """
+    if not len(features):
+        return None
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    total = np.maximum(1, np.bincount(text, line_words, len(lengths)))
+    labels = good[text]
     # Long sequences train in stretches, so that padding stays bounded.
     parts = [s for n in lengths.tolist() for s in ([64] * (n // 64) + [n % 64])]
-    return crf.train(found["features"], labels, parts, SIZE, epochs=80)
+    model = None
+    for k in range(rounds):
+        model = crf.train(features, labels, parts, SIZE, epochs=epochs)
+        if k + 1 < rounds:
+            own = model.decode(features, lengths).astype(np.int64)
+            right = (np.bincount(text, line_words * own, len(lengths)) / total >= share) == (good == 1)
+            labels = np.where(right[text], own, good[text])
+    return model
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``sample`` labelled rows: text and label, those of the smallest hash of the id."""
+    """Rows of at most ``sample`` labelled ids, those of the smallest hash: _id, text and label."""
     own = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("label")).filter("_id is not null and label is not null")
     chosen = own.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).orderBy("_id").select("text", "label")
+    return rows.join(F.broadcast(chosen), "_id").select("_id", "text", "label")
+
+
+def train_rows(rows: pa.Table, most_lines: int = MOST_LINES) -> crf.Crf | None:
+    """Train on rows of (_id, label, features, words): the first row of each id, up to ``most_lines`` lines in all."""
+    features, words, good, seen, lines = [], [], [], set(), 0
+    for ident, label, raw, own in zip(*(rows.column(c).to_pylist() for c in ("_id", "label", "features", "words")), strict=True):
+        n = len(own) // 8
+        if ident in seen:
+            continue
+        if lines + n > most_lines and good:
+            break
+        lines += n
+        seen.add(ident)
+        features.append(np.frombuffer(raw, "<i4").reshape(-1, WIDTH))
+        words.append(np.frombuffer(own, "<i8"))
+        good.append(int(label == 1))
+    if not good:
+        return None
+    return train(np.concatenate(features), np.concatenate(words), np.array([len(w) for w in words]), np.array(good, np.int64))
+
+
+def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES) -> crf.Crf | None:
+    """The model of a bounded sample of labelled documents; null without labels.
+
+    Tasks turn the sample's texts into line features, one task trains on them, and the model
+    alone travels to the driver.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = labelled_sample(docs, labels, "quality", sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches, 1, 4 << 20):
+            m = measures(part.column(1))
+            ends = np.searchsorted(m["line_text"], np.arange(part.num_rows + 1))
+            cuts = list(zip(ends[:-1], ends[1:], strict=True))
+            features, words = m["features"].astype("<i4"), m["line_words"].astype("<i8")
+            raw = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (features, words)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *raw], ["_id", "label", "features", "words"])
+
+    kind, label = (rows.schema[c].dataType.simpleString() for c in ("_id", "label"))
+    with small_batches(docs.sparkSession):
+        table = scratch.save(rows.mapInArrow(run, f"_id {kind}, label {label}, features binary, words binary"), "sample")
+        made = in_one_task(table, lambda rows: pickle.dumps(train_rows(rows, most_lines)), F.xxhash64("_id"), "_id", "features", "words")
+    scratch.drop("sample")
+    return pickle.loads(made)
 
 
 def judge(docs: DataFrame, model: crf.Crf | None, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,13 +252,7 @@ def judge(docs: DataFrame, model: crf.Crf | None, share: float = 0.5, id_col: st
             yield pa.RecordBatch.from_arrays([part.column(0), *longs, pa.array(failed), pa.array(~failed & (ratio >= share)), pa.array(content), pa.array(ratio)], names)
 
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words", "content_share"]
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long, content_share double"
     return narrow.mapInArrow(run, out)
-
-
-def train_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> crf.Crf | None:
-    rows = labelled_sample(docs, labels, "quality", sample).collect()
-    return fit([r["text"] for r in rows], [int(r["label"] == 1) for r in rows]) if rows else None

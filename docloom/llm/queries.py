@@ -131,12 +131,12 @@ WITH p AS (
   SELECT row_number() OVER () AS pos, page_id,
          lower(regexp_extract(coalesce(url, ''), '{line_dedup.HOST}', 1)) AS host,
          list_filter(list_transform(regexp_split_to_array(
-           regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', '', 'g'), '{line_dedup.BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g'),
-           '[\r\n]+'), lambda x: trim(x)), lambda x: x <> '') AS lines
+           regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', '', 'g'), '{line_dedup.BLOCK}', chr(10), 'g'), '{line_dedup.TAG}', '', 'g'),
+           '[\r\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines
   FROM pages),
 totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 counts AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
-common AS (SELECT host, list(line) AS lines FROM counts JOIN totals USING (host) WHERE n >= 3 AND n / pages > 0.05 GROUP BY host),
+common AS (SELECT host, list(line) AS lines FROM counts JOIN totals USING (host) WHERE n > 1 AND n / pages > 0.05 GROUP BY host),
 kept AS (SELECT p.*, list_filter(p.lines, lambda x: NOT list_contains(coalesce(c.lines, []), x)) AS rest FROM p LEFT JOIN common c USING (host))
 SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(rest) AS n_dropped, coalesce(array_to_string(rest, chr(10)), '') AS text FROM kept
 """

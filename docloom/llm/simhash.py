@@ -8,12 +8,15 @@ below the guaranteed four are discarded and the rest verified by Hamming distanc
 
 Lists are compared in blocks in bounded memory and emit a spanning set of the verified
 links, not the pairs. Lists longer than a tile are cut into tiles whose pairs are dealt to
-different tasks, so no list has to fit one task. Equal fingerprints are one entry.
+different tasks, so no list has to fit one task; an entry of a list of n then is one row for
+each of its n / tile tiles. Equal fingerprints are one entry.
 Connected components come from alternating large-star and small-star rounds on tables.
 
 Defined cases: null and blank texts have fingerprint zero; documents with equal ids are
 one node per row's fingerprint, and null ids are returned but never name a component
-unless all its ids are null. An empty table gives an empty result.
+unless all its ids are null. Equal texts and repeated rows share a fingerprint; very long
+texts are hashed whole, in stretches of bounded memory. An empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from docloom.llm.common import MemberFilter, Scratch, small_batches
 
 BYTES = 8
 #: Rows of a posting list that one comparison holds on each side.
-TILE = 4096
+TILE = 65536
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -73,7 +76,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -183,7 +185,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFra
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id (smallest linked doc_id)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    with small_batches(docs.sparkSession):
+        rows = scratch.save(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = scratch.save(components(links(classes.select("fp"), scratch, bits), scratch), "roots")
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

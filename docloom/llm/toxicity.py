@@ -5,19 +5,23 @@ their five-letter stems, hashed to buckets; presence counts, frequency does not,
 texts are not diluted. The machine adds to the linear weights a pairwise interaction of
 term vectors, and so learns pairs that are toxic together and not apart.
 
-Training uses a bounded sample of labelled documents (``sample`` rows of the training
-folds, those with the smallest hash of their id) and, of their buckets, the ``terms`` most
-associated with the label either way; the others have weight zero. Scoring reads every
-whole text. Only the text enters a score.
+Training uses a bounded sample of labelled documents of the training folds: those with the
+smallest hash of their id, at most ``sample`` rows and ``most_terms`` terms in all. Every
+term of the sample is in the model: none is screened out. Its linear value grows smoothly
+with its own association with the label; its factors also take part by frequency alone, so
+a pair of terms that tell nothing apart is learned, with less weight in texts of many
+terms. Scoring reads every whole text. Only the text enters a score.
 
 Defined cases: null and empty texts have no terms and get the bias's score; with no labels
-or one class alone every score is the label share; equal texts get equal scores; an empty
-table gives an empty result; extra columns are ignored.
+or one class alone every score is the label share; equal texts get equal scores, repeated
+rows too; very long texts are scored whole, in a batch of their own; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,15 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import in_fold, small_batches
+from docloom.llm.common import Scratch, in_fold, in_one_task, small_batches
 from docloom.llm.tokens import gathered, word_codes
 
 BITS = 20
-SAMPLE, TERMS, FACTORS = 12_000, 4096, 8
+#: Bounds of the labelled sample: rows, and terms of all rows together.
+SAMPLE, MOST_TERMS, FACTORS = 8000, 12_000_000, 8
+DILUTE = 40
 STEMS = (4, 5)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _KNOWN: dict[str, tuple[int, ...]] = {}
@@ -91,98 +96,133 @@ def one_of_copies(lists: list[np.ndarray], labels: list) -> list[int]:
 
 @dataclass
 class Machine:
+    """A term's value in the linear part is ``own``; in the pairs, ``pair`` and, diluted by the
+    text's number of terms, ``common``."""
+
     place: np.ndarray  # sorted buckets in use
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    pair: np.ndarray
+    common: np.ndarray
 
-    def raw(self, text: np.ndarray, column: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores before the sigmoid, and the summed factors, of n sparse rows."""
+    def raw(self, text: np.ndarray, column: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores before the sigmoid of texts with ``sizes`` terms, from their known terms."""
+        n = len(sizes)
         score = self.bias + np.bincount(text, self.linear[column], n)
-        total = np.zeros((n, self.factors.shape[1]))
+        value = self.pair[column] + self.common[column] * dilution(sizes)[text]
         for k in range(self.factors.shape[1]):
-            v = self.factors[column, k]
-            total[:, k] = np.bincount(text, v, n)
-            score += 0.5 * (total[:, k] ** 2 - np.bincount(text, v * v, n))
-        return score, total
-
-    def columns(self, text: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.place):
-            return text[:0], bucket[:0]
-        at = np.minimum(np.searchsorted(self.place, bucket), len(self.place) - 1)
-        known = self.place[at] == bucket
-        return text[known], at[known]
+            v = self.factors[column, k] * value
+            score += 0.5 * (np.bincount(text, v, n) ** 2 - np.bincount(text, v * v, n))
+        return score
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        codes, counts, distinct = word_codes(texts)
-        text = np.repeat(np.arange(len(counts)), counts)
-        if len(codes) and len(self.place):
-            known = set(self.place.tolist())
-            useful = np.fromiter((not known.isdisjoint(buckets(w)) for w in distinct.to_pylist()), bool, len(distinct))
-            text, codes = text[useful[codes]], codes[useful[codes]]
+        text, bucket = term_lists(texts)
+        sizes = np.bincount(text, minlength=len(texts))
+        if len(self.place):
+            at = np.minimum(np.searchsorted(self.place, bucket), len(self.place) - 1)
+            known = self.place[at] == bucket
+            raw = self.raw(text[known], at[known], sizes)
         else:
-            text, codes = text[:0], codes[:0]
-        text, bucket = expand(text, codes, distinct)
-        text, column = self.columns(text, bucket)
-        raw, _ = self.raw(text, column, len(texts))
+            raw = np.full(len(texts), self.bias)
         return 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
 
 
-def train(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = 30, batch: int = 512, rate: float = 0.05, ridge: float = 2e-4, least: float = 8.0) -> Machine:
-    """Fit on sparse rows with Adam over minibatches of rows; deterministic."""
+def dilution(sizes: np.ndarray) -> np.ndarray:
+    """Weight of pairs of common terms: near 1 in short texts, falling as pairs grow many."""
+    return (DILUTE / (DILUTE + sizes)).astype(np.float32)
+
+
+def evidence(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihood ratio of each bucket's presence between the classes, and its documents."""
+    n, a = len(labels), int(labels.sum())
+    b = n - a
+    yes = np.bincount(bucket[labels[text] == 1], minlength=1 << BITS).astype(float)
+    no = np.bincount(bucket[labels[text] == 0], minlength=1 << BITS).astype(float)
+    p, q, both = (yes + 0.5) / (a + 1), (no + 0.5) / (b + 1), (yes + no + 1) / (n + 2)
+    gain = yes * np.log(p / both) + (a - yes) * np.log((1 - p) / (1 - both)) + no * np.log(q / both) + (b - no) * np.log((1 - q) / (1 - both))
+    return np.maximum(gain, 0), yes + no
+
+
+def train(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray, factors: int = FACTORS, visits: int = 90_000, batch: int = 256, rate: float = 0.1, ridge: float = 2e-4, weight: float = 3.0) -> Machine:
+    """Fit on sparse rows by text with Adagrad over minibatches of rows; deterministic.
+
+    Every term of the sample has a linear weight and factors. A term's values grow smoothly
+    with its own association; in pairs also with its frequency alone. Toxic rows weigh more.
+    """
     n = len(labels)
     share = float(labels.mean()) if n else 0.0
     if not 0 < share < 1:
         base = float(np.clip(np.log((share + 1e-6) / (1 - share + 1e-6)), -10, 10))
-        return Machine(np.zeros(0, np.int64), base, np.zeros(0), np.zeros((0, factors)))
-    yes = np.bincount(bucket[labels[text] == 1], minlength=1 << BITS) + 0.0
-    no = np.bincount(bucket[labels[text] == 0], minlength=1 << BITS) + 0.0
-    # Signed root of the likelihood ratio of presence between the classes.
-    a, b = labels.sum(), n - labels.sum()
-    p, q = (yes + 0.5) / (a + 1), (no + 0.5) / (b + 1)
-    both = (yes + no + 1) / (n + 2)
-    gain = yes * np.log(p / both) + (a - yes) * np.log((1 - p) / (1 - both)) + no * np.log(q / both) + (b - no) * np.log((1 - q) / (1 - both))
-    gain[yes + no < 3] = -1
-    place = np.sort(np.argsort(-gain, kind="stable")[:terms])
-    place = place[gain[place] > least]
+        none = np.zeros(0, np.float32)
+        return Machine(np.zeros(0, np.int64), base, none, np.zeros((0, factors), np.float32), none, none)
+    gain, df = evidence(text, bucket, labels)
+    place = np.flatnonzero(df)
+    column = np.searchsorted(place, bucket).astype(np.int32)
+    gain, df = gain[place], df[place]
+    sure = (gain / (gain + 8)) ** 2
+    own, pair, common = (x.astype(np.float32) for x in (np.sqrt(gain) / 4 * sure, np.minimum(1, sure), 0.3 * df / (df + 20)))
     rng = np.random.default_rng(5)
-    model = Machine(place, float(np.log(share / (1 - share))), np.zeros(len(place)), rng.normal(0, 0.01, (len(place), factors)))
-    text, column = model.columns(text, bucket)
+    linear, factor = np.zeros(len(place), np.float32), rng.normal(0, 0.01, (len(place), factors)).astype(np.float32)
+    past, past_factor = np.full(len(place), 1e-8, np.float32), np.full((len(place), factors), 1e-8, np.float32)
+    bias, past_bias = float(np.log(share / (1 - share))), 1e-8
     starts = np.searchsorted(text, np.arange(n + 1))
-    params = [model.linear, model.factors]
-    first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-    bias = np.zeros(2)
-    step = 0
-    for _ in range(epochs):
+    size = np.diff(starts)
+    thin = dilution(size)
+    for _ in range(int(np.clip(visits // n, 10, 60))):
         order = rng.permutation(n)
         for lo in range(0, n, batch):
             rows = order[lo : lo + batch]
-            sizes = starts[rows + 1] - starts[rows]
+            sizes = size[rows]
             where = np.repeat(starts[rows], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            local, col = np.repeat(np.arange(len(rows)), sizes), column[where]
-            raw, total = model.raw(local, col, len(rows))
-            error = (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - labels[rows]) / len(rows)
-            g = error[local]
-            grads = [np.bincount(col, g, len(place)) + ridge * model.linear, np.empty_like(model.factors)]
-            for k in range(factors):
-                v = model.factors[:, k]
-                grads[1][:, k] = np.bincount(col, g * (total[local, k] - v[col]), len(place)) + 4 * ridge * v
-            step += 1
-            for x, d, m, s in zip(params, grads, first, second, strict=True):
-                m *= 0.9
-                m += 0.1 * d
-                s *= 0.999
-                s += 0.001 * d * d
-                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-            d = error.sum()
-            bias = np.array([0.9 * bias[0] + 0.1 * d, 0.999 * bias[1] + 0.001 * d * d])
-            model.bias -= rate * (bias[0] / (1 - 0.9**step)) / (np.sqrt(bias[1] / (1 - 0.999**step)) + 1e-8)
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Train on labelled documents outside fold zero; the workers hash the terms."""
-    small_batches(docs.sparkSession)
+            local = np.repeat(np.arange(len(rows)), sizes)
+            used, c = np.unique(column[where], return_inverse=True)
+            w, v, m = linear[used], factor[used], len(rows)
+            value = pair[used][c] + common[used][c] * thin[rows][local]
+            part = v[c] * value[:, None]
+            total = np.stack([np.bincount(local, part[:, k], m) for k in range(factors)], axis=1).astype(np.float32)
+            raw = bias + np.bincount(local, (w * own[used])[c], m) + 0.5 * ((total**2).sum(axis=1) - np.bincount(local, (part**2).sum(axis=1), m))
+            error = (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - labels[rows]) * np.where(labels[rows] == 1, weight, 1.0) / m
+            g = error[local].astype(np.float32)
+            dw = np.bincount(c, g, len(used)) * own[used] + ridge * w
+            dv = np.stack([np.bincount(c, g * value * (total[local, k] - part[:, k]), len(used)) for k in range(factors)], axis=1) + 4 * ridge * v
+            past[used] += dw * dw
+            past_factor[used] += dv * dv
+            linear[used] = w - rate * dw / np.sqrt(past[used])
+            factor[used] = v - rate * dv / np.sqrt(past_factor[used])
+            d = float(error.sum())
+            past_bias += d * d
+            bias -= rate * d / past_bias**0.5
+    return Machine(place, bias, linear * own, factor, pair, common)
+
+
+def train_on(rows: pa.Table, most_terms: int = MOST_TERMS) -> Machine:
+    """Fit on rows of (_id, label, terms): the first row of each id, up to ``most_terms`` terms in all."""
+    lists, labels, seen, total = [], [], set(), 0
+    for ident, label, raw in zip(*(rows.column(c).to_pylist() for c in ("_id", "label", "terms")), strict=True):
+        if ident in seen:
+            continue
+        total += len(raw) // 4
+        if total > most_terms and lists:
+            break
+        seen.add(ident)
+        lists.append(np.frombuffer(raw, "<u4").astype(np.int32))
+        labels.append(int(label == 1))
+    single = one_of_copies(lists, labels)
+    lists, labels = [lists[k] for k in single], [labels[k] for k in single]
+    text = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    bucket = np.concatenate([np.zeros(0, np.int32), *lists])
+    return train(text, bucket, np.array(labels, np.int64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE, most_terms: int = MOST_TERMS, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+    """Train on labelled documents outside fold zero.
+
+    The tasks hash the terms of the sample into a table, one task trains on it, and the
+    model alone travels to the driver.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     own = labels.select(F.col(id_col).alias("_id"), F.col("toxic").alias("label")).filter("_id is not null and label is not null")
     own = own.filter(~in_fold(F.col("_id"), folds))
     chosen = own.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -196,19 +236,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(raw, pa.binary())], ["_id", "label", "terms"])
 
     kind, label = (rows.schema[c].dataType.simpleString() for c in ("_id", "label"))
-    got = rows.select("_id", "text", "label").mapInArrow(run, f"_id {kind}, label {label}, terms binary").collect()
-    got = sorted({r["_id"]: r for r in sorted(got, key=lambda r: bytes(r["terms"]))}.values(), key=lambda r: r["_id"])
-    lists = [np.frombuffer(r["terms"], "<u4").astype(np.int64) for r in got]
-    single = one_of_copies(lists, [r["label"] for r in got])
-    got, lists = [got[k] for k in single], [lists[k] for k in single]
-    text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    bucket = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    return train(text, bucket, np.array([int(r["label"] == 1) for r in got], np.int64))
+    with small_batches(spark):
+        table = scratch.save(rows.select("_id", "text", "label").mapInArrow(run, f"_id {kind}, label {label}, terms binary"), "sample")
+        made = in_one_task(table, lambda rows: pickle.dumps(train_on(rows, most_terms)), F.xxhash64("_id"), "_id", "terms")
+    scratch.drop("sample")
+    return pickle.loads(made)
 
 
 def score_table(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and score of every document, or its ``carry`` columns and score."""
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(text_col).alias("__text"), *([F.col(c) for c in carry] or [F.col(id_col).alias("doc_id")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
