@@ -113,8 +113,8 @@ def in_fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-#: Bits of one bitmap of Spark's bitmap functions, and bitmaps of a filter: 8 MB at most.
-BITMAP_BITS, MOST_BITMAPS = 32768, 2048
+#: Bits of one bitmap of Spark's bitmap functions, and bitmaps of a filter: 32 MB at most.
+BITMAP_BITS, MOST_BITMAPS = 32768, 8192
 
 
 def filter_bit(*keys: Column | str) -> Column:

@@ -1,18 +1,18 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-Memtables (the partial aggregation of each task) flush into sorted runs of digests; every
-run carries a bitmap filter over hashed digests. Compaction joins a run's entries with the
-union of the *other* runs' filters: entries that no other run can hold pass untouched,
-the rest merge, keeping the best identifier. Digests with several rows are verified byte
-for byte; a digest shared by different texts is split by the texts themselves.
-
-The hash partitioning by filter bucket serves both the filter probe and the merge, so the
-compaction shuffles each run entry once. A hot digest enters a run as one entry per task.
+Memtables (the rows of some neighbouring tasks) flush into sorted runs of digests, so their
+number follows the input; every run carries a bitmap filter over hashed digests. Levels of
+compaction merge a fixed number of neighbouring sorted runs into one until one is left:
+entries that the filters of the *other* runs of the merge rule out pass untouched, the rest
+merge in digest order, keeping the best identifier. Digests with several rows are verified
+byte for byte; a digest shared by different texts is split by the texts themselves. A hot
+digest enters a run as one entry.
 
 Defined cases: a null text counts as empty; empty texts form one group. Ties on length go
 to the smallest doc_id (null ids last), then to the earliest row of the ledger, so of
-wholly equal rows exactly one stays. An empty table gives an empty result. Extra columns
-are ignored by ``resolve`` and kept by ``deduplicate``.
+wholly equal rows exactly one stays. Very long texts are hashed whole where they lie. An
+empty table gives an empty result. Extra columns are ignored by ``resolve`` and kept by
+``deduplicate``.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import BITMAP_BITS, MemberFilter, Scratch, bit_is_set, filter_bit, filter_bucket, text_or_empty
 
+#: Neighbouring tasks whose rows form one memtable, and runs that one merge takes.
+MEMTABLE, FAN_IN = 8, 8
+
+
 def normalised(text: Column) -> Column:
     """The text without [\\x20\\x09-\\x0D]; null counts as empty."""
     return F.translate(text_or_empty(text), " \t\n\x0b\x0c\r", "")
@@ -34,10 +38,10 @@ def sha256(normal: Column) -> Column:
 
 
 def flush_runs(ledger: DataFrame, scratch: Scratch) -> DataFrame:
-    """Sorted digest runs with the best row and the number of rows of each digest."""
+    """Level 0: sorted digest runs with the best row and the number of rows of each digest."""
     best = F.min(F.struct((-F.col("n_points")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    runs = ledger.groupBy("run", "digest").agg(best.alias("best"), F.count("*").alias("n")).sortWithinPartitions("run", "digest")
-    return scratch.save(runs, "runs")
+    runs = ledger.groupBy("run", "digest").agg(best.alias("best"), F.count("*").alias("n"))
+    return scratch.save(runs.sortWithinPartitions("run", "digest"), "level_0")
 
 
 def run_filters(runs: DataFrame, buckets: int) -> DataFrame:
@@ -45,27 +49,41 @@ def run_filters(runs: DataFrame, buckets: int) -> DataFrame:
     return runs.groupBy("run", filter_bucket(buckets, "digest").alias("bucket")).agg(F.bitmap_construct_agg(filter_bit("digest")).alias("bits"))
 
 
-def compact(runs: DataFrame, scratch: Scratch, n_runs: int) -> DataFrame:
-    """Merge the runs: digest, best row and group size."""
-    buckets = max(1, runs.count() * 8 // BITMAP_BITS)
-    others = (
+def merge_level(runs: DataFrame, n_runs: int, fan_in: int, scratch: Scratch, name: str) -> DataFrame:
+    """The next level: every ``fan_in`` neighbouring runs merged into one sorted run.
+
+    An entry that the filters of the other runs of its merge rule out passes untouched. The
+    others are merged in digest order (Spark aggregates such structs by sorting), keeping
+    the best row. Filters are as large as their runs.
+    """
+    buckets = max(1, runs.count() // n_runs * 16 // BITMAP_BITS)
+    target = F.floor(F.col("run") / fan_in).cast("int")
+    others = F.sequence(target * fan_in, F.least(target * fan_in + fan_in, F.lit(n_runs)) - 1)
+    seen = (
         run_filters(runs, buckets)
-        .withColumn("for_run", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_runs - 1)), lambda r: r != F.col("run"))))
-        .groupBy(F.col("bucket").alias("f_bucket"), F.col("for_run"))
+        .withColumn("of", F.explode(F.filter(others, lambda r: r != F.col("run"))))
+        .groupBy(F.col("of").alias("run"), "bucket")
         .agg(F.bitmap_or_agg("bits").alias("bits"))
-        .groupBy("f_bucket")
-        .agg(F.map_from_entries(F.collect_list(F.struct("for_run", "bits"))).alias("filters"))
-    )
-    probed = (
-        runs.withColumn("bucket", filter_bucket(buckets, "digest"))
-        .join(others, F.col("bucket") == F.col("f_bucket"), "left")
-        .withColumn("shared", bit_is_set(F.col("filters")[F.col("run")], filter_bit("digest")))
-        .select("bucket", "digest", "best", "n", "shared")
     )
-    probed = scratch.save(probed, "probed")
-    alone = probed.filter(~F.col("shared")).select("digest", "best", "n")
-    merged = probed.filter("shared").groupBy("bucket", "digest").agg(F.min("best").alias("best"), F.sum("n").alias("n")).select("digest", "best", "n")
-    return scratch.save(alone.unionByName(merged), "index")
+    probed = runs.withColumn("bucket", filter_bucket(buckets, "digest")).join(seen, ["run", "bucket"], "left")
+    probed = probed.select(target.alias("run"), "digest", "best", "n", bit_is_set(F.col("bits"), filter_bit("digest")).alias("shared"))
+    probed = scratch.save(probed, f"{name}_probed")
+    alone = probed.filter(~F.col("shared")).select("run", "digest", "best", "n")
+    merged = probed.filter("shared").groupBy("run", "digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    done = scratch.save(alone.unionByName(merged).sortWithinPartitions("run", "digest"), name)
+    scratch.drop(f"{name}_probed")
+    return done
+
+
+def compact(runs: DataFrame, scratch: Scratch, fan_in: int) -> DataFrame:
+    """Merge the runs level by level until one is left: digest, best row and group size."""
+    n_runs, level = (runs.agg(F.max("run")).first()[0] or 0) + 1, 0
+    while n_runs > 1:
+        level += 1
+        runs = merge_level(runs, n_runs, fan_in, scratch, f"level_{level}")
+        scratch.drop(f"level_{level - 1}")
+        n_runs = -(-n_runs // fan_in)
+    return runs.select("digest", "best", "n")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
@@ -73,7 +91,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
     return texts.withColumn("normal", normalised(F.col("text"))).withColumn("digest", digest(F.col("normal")))
 
 
-def _index(keyed: DataFrame, runs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, MemberFilter, DataFrame | None]:
+def _index(keyed: DataFrame, memtable: int, fan_in: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, MemberFilter, DataFrame | None]:
     """The ledger of all rows, the groups of several rows with their filter, and digests that texts share by chance."""
     ledger = scratch.save(
         keyed.select(
@@ -81,11 +99,11 @@ def _index(keyed: DataFrame, runs: int, scratch: Scratch) -> tuple[DataFrame, Da
             "digest",
             F.char_length("text").cast("long").alias("n_points"),
             F.monotonically_increasing_id().alias("row"),
-            F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"),
+            F.floor(F.spark_partition_id() / memtable).cast("int").alias("run"),
         ),
         "ledger",
     )
-    index = compact(flush_runs(ledger, scratch), scratch, runs)
+    index = compact(flush_runs(ledger, scratch), scratch, fan_in)
     groups = index.filter("n > 1").select(
         "digest",
         F.col("best.doc_id").alias("keep_id"),
@@ -102,7 +120,8 @@ def resolve(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    runs: int = 4,
+    memtable: int = MEMTABLE,
+    fan_in: int = FAN_IN,
     digest: Callable[[Column], Column] = sha256,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest (binary), row.
@@ -112,7 +131,7 @@ def resolve(
     """
     scratch = Scratch(docs.sparkSession, "exact")
     keyed = _keyed(docs, id_col, text_col, digest)
-    ledger, groups, _, collided = _index(keyed, runs, scratch)
+    ledger, groups, _, collided = _index(keyed, memtable, fan_in, scratch)
     out = ledger.join(groups, "digest", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -153,14 +172,14 @@ def _by_text(keyed: DataFrame, collided: DataFrame, scratch: Scratch) -> DataFra
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable: int = MEMTABLE, fan_in: int = FAN_IN) -> DataFrame:
     """The kept rows of ``docs`` with all their columns.
 
     Rows of unique texts pass without a shuffle; of the others the row with the kept id and
     length stays, once even where such rows repeat.
     """
     scratch = Scratch(docs.sparkSession, "exact")
-    _, groups, hits, collided = _index(_keyed(docs, id_col, text_col, sha256), runs, scratch)
+    _, groups, hits, collided = _index(_keyed(docs, id_col, text_col, sha256), memtable, fan_in, scratch)
     if collided is not None:
         raise ValueError("different texts share a SHA-256 digest; use resolve(), which tells them apart")
     rows = docs.withColumn("__digest", sha256(normalised(F.col(text_col))))

@@ -63,13 +63,22 @@ def test_exact(odd, docs):
         rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
         want = brute_exact(rows)
         for weak in (exact_dedup.sha256, lambda c: F.substring(exact_dedup.sha256(c), 1, 1)):
-            got = exact_dedup.resolve(frame, digest=weak).collect()
+            got = exact_dedup.resolve(frame.repartition(7), memtable=1, fan_in=2, digest=weak).collect()
             assert len(got) == len(rows)
             assert sum(r.kept for r in got) == len(want)
             expected = collections.Counter((d, *want[re.sub(r"[\x20\x09-\x0D]", "", t or "")]) for d, t in rows)
             assert collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == expected
 
 
+def test_exact_levels_do_not_matter(docs):
+    def found(frame, **options):
+        return sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.resolve(frame, **options).collect())
+
+    want = found(docs.coalesce(1))
+    for parts, memtable, fan_in in ((13, 1, 2), (13, 1, 3), (9, 2, 8)):
+        assert found(docs.repartition(parts), memtable=memtable, fan_in=fan_in) == want
+
+
 def test_exact_keeps_rows(odd, spark):
     kept = exact_dedup.deduplicate(odd)
     assert kept.columns == odd.columns
