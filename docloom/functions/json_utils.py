@@ -38,6 +38,19 @@ def deep_equal_column(a: Column, b: Column) -> Column:
     return stringify_column(a) == stringify_column(b)
 
 
+def deep_equal(a, b) -> bool:
+    """Structural equality of values that may hold bytes: kinds are told apart, numbers by value."""
+    if isinstance(a, (bytes, bytearray)) or isinstance(b, (bytes, bytearray)):
+        return isinstance(a, (bytes, bytearray)) and isinstance(b, (bytes, bytearray)) and bytes(a) == bytes(b)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(deep_equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(deep_equal(v, b[k]) for k, v in a.items())
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    return type(a) in (int, float) and type(b) in (int, float) and a == b or type(a) is type(b) and a == b
+
+
 def pretty_one_line(value) -> str:
     """One line with spaces after commas and inside brackets."""
     if isinstance(value, dict):
@@ -85,6 +98,10 @@ def hash32(value) -> int:
     return _mix(_marks(value))
 
 
+def hash_str(text: str) -> int:
+    return hash32(text)
+
+
 def hash_bin(data: bytes) -> int:
     return _mix(iter([BINARY, len(data), *reversed(data)]))
 
@@ -103,14 +120,18 @@ def hash_str_column(text: Column) -> Column:
 
 
 def struct_hash(value) -> str:
-    """Printable hash of a structure: equal values have equal text, kinds are told apart."""
-    if isinstance(value, list):
-        return "[" + ";".join(map(struct_hash, value)) + "]"
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{base36(hash32(k))}:{struct_hash(value[k])}" for k in sorted(value)) + "}"
+    """Printable hash of a structure: whole numbers in base 36, texts by their 32-bit hash, keys sorted."""
     if value is None or isinstance(value, bool):
         return {None: "N", True: "T", False: "F"}[value]
-    return base36(hash32(value))
+    if isinstance(value, (int, float)):
+        return ("-" if value < 0 else "") + base36(int(abs(value)))
+    if isinstance(value, str):
+        return base36(hash32(value))
+    if isinstance(value, (bytes, bytearray)):
+        return base36(hash_bin(bytes(value)))
+    if isinstance(value, list):
+        return "[" + "".join(struct_hash(v) + ";" for v in value) + "]"
+    return "{" + "".join(f"{base36(hash32(k))}:{struct_hash(value[k])}," for k in sorted(value)) + "}"
 
 
 def base36(n: int) -> str:
@@ -139,6 +160,22 @@ def json_size(value) -> int:
     return len(json.dumps(value, separators=(",", ":"), ensure_ascii=False).encode())
 
 
+def json_size_approx(value) -> int:
+    """The compact text's bytes without the escapes of texts."""
+    if isinstance(value, str):
+        return len(value.encode()) + 2
+    if isinstance(value, list):
+        return 2 + sum(map(json_size_approx, value)) + max(0, len(value) - 1)
+    if isinstance(value, dict):
+        return 2 + sum(json_size_approx(k) + 1 + json_size_approx(v) for k, v in value.items()) + max(0, len(value) - 1)
+    return json_size(value)
+
+
+def utf8_size(text: Column) -> Column:
+    """Bytes of a text in UTF-8."""
+    return F.octet_length(text).cast("long")
+
+
 def max_capacity(value) -> int:
     """Upper bound of the encoded size in any supported format."""
     if value is None or isinstance(value, bool):
@@ -157,6 +194,13 @@ def size_fast_column(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else size_fast(json.loads(t))).astype("Int64")
 
 
+@arrow("struct<approx:bigint,fast:bigint,exact:bigint>")
+def sizes_column(text: pd.Series) -> pd.DataFrame:
+    """All three sizes from one parse of each row."""
+    rows = [(None, None, None) if t is None else (json_size_approx(v := json.loads(t)), size_fast(v), json_size(v)) for t in text]
+    return pd.DataFrame(rows, columns=["approx", "fast", "exact"]).astype("Int64")
+
+
 def json_size_column(text: Column) -> Column:
     """Bytes of the canonical compact text."""
     return F.octet_length(stringify_column(text)).cast("long")
@@ -239,3 +283,32 @@ def to_html(node) -> str:
 
 def _text_html(text: str) -> str:
     return re.sub("[&<>]", lambda m: {"&": "&amp;", "<": "&lt;", ">": "&gt;"}[m[0]], text)
+
+
+def walk_markup(node) -> Iterator:
+    """Every node of a JsonML tree before its children: [tag, attributes or null, children...] or text."""
+    yield node
+    for child in node[2:] if isinstance(node, list) else ():
+        yield from walk_markup(child)
+
+
+class Fuzzer:
+    """Seeded random numbers, picks and shuffles; the seed's draws repeat in every process."""
+
+    def __init__(self, seed: int | str = 0):
+        import random
+
+        self.seed, self.draws = seed, random.Random(str(seed))
+
+    def random_int(self, low: int, high: int) -> int:
+        """A whole number from ``low`` to ``high``, both included."""
+        return self.draws.randint(low, high)
+
+    def pick(self, items: list):
+        return items[self.draws.randrange(len(items))]
+
+    def repeat(self, times: int, make) -> list:
+        return [make() for _ in range(times)]
+
+    def shuffled(self, items: list) -> list:
+        return self.draws.sample(items, len(items))

@@ -10,8 +10,9 @@ An operation is a JSON object in the readable form, with ids as [session, time]:
 
 from __future__ import annotations
 
+import copy
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,19 @@ from pyspark.sql import functions as F
 
 ORIGIN = (0, 0)
 CREATES = {"new_con": "con", "new_val": "val", "new_obj": "obj", "new_vec": "vec", "new_str": "str", "new_bin": "bin", "new_arr": "arr"}
-UNDEFINED = object()
+
+
+class _Undefined:
+    """The marker of a missing value; copies of a model keep the one there is."""
+
+    def __copy__(self) -> _Undefined:
+        return self
+
+    def __deepcopy__(self, memo: dict) -> _Undefined:
+        return self
+
+
+UNDEFINED = _Undefined()
 
 
 def _id(pair) -> tuple[int, int]:
@@ -181,6 +194,71 @@ class Builder:
         self.time += span(own)
         return at
 
+    def con_val(self, value) -> list[int]:
+        """A constant; the undefined marker makes one without a value."""
+        return self.add("new_con", **({} if value is UNDEFINED else {"value": value}))
+
+    def con_ref(self, at: list[int]) -> list[int]:
+        """A constant that refers to an id."""
+        return self.add("new_con", timestamp=at)
+
+    def val(self) -> list[int]:
+        return self.add("new_val")
+
+    def obj(self) -> list[int]:
+        return self.add("new_obj")
+
+    def vec(self) -> list[int]:
+        return self.add("new_vec")
+
+    def str_node(self) -> list[int]:
+        return self.add("new_str")
+
+    def bin(self) -> list[int]:
+        return self.add("new_bin")
+
+    def arr(self) -> list[int]:
+        return self.add("new_arr")
+
+    def set_root(self, value: list[int]) -> list[int]:
+        """Make a node the document's root."""
+        return self.set_val([0, 0], value)
+
+    def ins_obj(self, obj: list[int], pairs: list) -> list[int]:
+        return self.add("ins_obj", obj=obj, value=_some(pairs))
+
+    def ins_vec(self, obj: list[int], pairs: list) -> list[int]:
+        return self.add("ins_vec", obj=obj, value=_some(pairs))
+
+    def set_val(self, obj: list[int], value: list[int]) -> list[int]:
+        return self.add("ins_val", obj=obj, value=value)
+
+    def ins_str(self, obj: list[int], after: list[int], text: str) -> list[int]:
+        return self.add("ins_str", obj=obj, after=after, value=_some(text))
+
+    def ins_bin(self, obj: list[int], after: list[int], data: bytes | list[int]) -> list[int]:
+        return self.add("ins_bin", obj=obj, after=after, value=_some(list(data)))
+
+    def ins_arr(self, obj: list[int], after: list[int], ids: list) -> list[int]:
+        return self.add("ins_arr", obj=obj, after=after, values=_some(ids))
+
+    def upd_arr(self, obj: list[int], ref: list[int], value: list[int]) -> list[int]:
+        return self.add("upd_arr", obj=obj, ref=ref, value=value)
+
+    def delete(self, obj: list[int], spans: list[list[int]]) -> list[int]:
+        """Delete spans [session, time, length] of a sequence."""
+        return self.add("del", obj=obj, what=spans)
+
+    def nop(self, span: int) -> list[int]:
+        return self.add("nop", len=span)
+
+    def pad(self, time: int) -> None:
+        """Reach ``time`` by a nop, if it lies ahead."""
+        if time > self.time and self.ops:
+            self.nop(time - self.time)
+        elif time > self.time:
+            self.start = self.time = time
+
     def json(self, value) -> list[int]:
         """Nodes for a JSON value: text as str, containers as nodes, the rest constant."""
         if isinstance(value, str):
@@ -212,18 +290,56 @@ class Builder:
         return patch
 
 
+def _some(items):
+    if not items:
+        raise ValueError("EMPTY_OPERATION")
+    return items
+
+
+def patch_id(patch: dict) -> list[int] | None:
+    """The id of a patch's first operation; None for an empty patch."""
+    return list(patch["id"]) if patch["ops"] else None
+
+
+def next_time(patch: dict) -> int:
+    """The tick behind a patch's last; 0 for an empty patch."""
+    return patch["id"][1] + sum(map(span, patch["ops"])) if patch["ops"] else 0
+
+
+def batch_id(patches: list[dict]) -> list[int] | None:
+    """The id of a batch: that of its first patch."""
+    return patch_id(patches[0]) if patches else None
+
+
+def clone_batch(patches: list[dict]) -> list[dict]:
+    return copy.deepcopy(patches)
+
+
+_REFERENCES = ("obj", "after", "ref", "what", "values", "timestamp")
+
+
+def rewrite_time(patch: dict, change: Callable[[list[int]], list[int]]) -> dict:
+    """The patch with every id of it and of its operations changed; spans keep their length."""
+
+    def move(value):
+        if isinstance(value, list) and len(value) in (2, 3) and all(isinstance(x, int) for x in value):
+            return [*change(value[:2]), *value[2:]]
+        return [move(v) for v in value] if isinstance(value, list) else value
+
+    ids = ("ins_val", "ins_obj", "ins_vec", "upd_arr")
+    ops = [{k: move(v) if k in _REFERENCES or k == "value" and o["op"] in ids else v for k, v in o.items()} for o in patch["ops"]]
+    return {"id": change(list(patch["id"])), "ops": ops}
+
+
 def rebase(patch: dict, new_time: int, after: int | None = None) -> dict:
     """The patch at another time: own ids from the threshold on move by the difference."""
     sid, time = patch["id"]
     least, delta = time if after is None else after, new_time - time
 
-    def move(value):
-        if isinstance(value, list) and len(value) in (2, 3) and all(isinstance(x, int) for x in value):
-            return [value[0], value[1] + delta, *value[2:]] if value[0] == sid and value[1] >= least else value
-        return [move(v) for v in value] if isinstance(value, list) else value
+    def move(at: list[int]) -> list[int]:
+        return [sid, at[1] + delta] if at[0] == sid and at[1] >= least else at
 
-    ops = [{k: move(v) if k in ("obj", "after", "ref", "what", "values", "timestamp") or k == "value" and o["op"] in ("ins_val", "ins_obj", "ins_vec", "upd_arr") else v for k, v in o.items()} for o in patch["ops"]]
-    return {"id": [sid, new_time], "ops": ops}
+    return {**rewrite_time(patch, move), "id": [sid, new_time]}
 
 
 def compact(patch: dict) -> dict:
@@ -260,6 +376,11 @@ def combine(patches: list[dict]) -> dict:
 # -- over DataFrames
 
 
+def spread(df: DataFrame, *doc: str) -> DataFrame:
+    """Rows by document over all shuffle partitions: folds cost time, not bytes, by which small partitions would be joined."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *doc)
+
+
 def lww(ops: DataFrame, keys: list[str], value: str, time: str = "time", sid: str = "sid") -> DataFrame:
     """Winner of every key: the value of the newest id, with that id."""
     newest = F.struct(F.col(time).alias("time"), F.col(sid).alias("sid"))
@@ -326,7 +447,7 @@ def rga_text(ops: DataFrame, keys: list[str]) -> DataFrame:
         own.delete((int(r.sid), int(r.time), int(r.deleted)) for r in rows[rows["text"].isna()].itertuples())
         return pd.DataFrame([(*names, from_units(own.items[i] for i in own.live((-1, -1))))], columns=[*keys, "view"])
 
-    return ops.groupBy(*keys).applyInPandas(fold, f"{kinds}, view string")
+    return spread(ops, *keys).groupBy(*keys).applyInPandas(fold, f"{kinds}, view string")
 
 
 def replay(patches: DataFrame, doc: str, patch: str, upto: tuple[int, int] | None = None, inclusive: bool = True) -> DataFrame:
@@ -342,7 +463,7 @@ def replay(patches: DataFrame, doc: str, patch: str, upto: tuple[int, int] | Non
         view = model.view()
         return pd.DataFrame([(names[0], None if view is UNDEFINED else json.dumps(view, separators=(",", ":"), ensure_ascii=False))], columns=[doc, "view"])
 
-    return patches.select(doc, patch).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, view string")
+    return spread(patches.select(doc, patch), doc).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, view string")
 
 
 def counter(ops: DataFrame, doc: str, sid: str, value: str) -> DataFrame:

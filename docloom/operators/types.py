@@ -2,20 +2,52 @@
 
 A schema is a dict with ``kind``: any con bool num str bin arr obj map ref or. Validators
 compile to one Column over a VARIANT: the first error's code, or NULL for valid values.
+A schema may bring a rule of its own: ``test``, a function of the VARIANT Column, or
+``check``, a function of a Python value for ``first_error``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.arrow import arrow
 from docloom.functions.values import NUMBER_TAGS, Val, canonical, elements, is_tag, literal, members
 
 #: Error codes in the order of their numbers.
 ERRORS = "STR NUM BOOL ARR TUP OBJ MAP KEY KEYS BIN OR REF ENUM CONST VALIDATION INT UINT STR_LEN ARR_LEN GT GTE LT LTE BIN_LEN".split()
+#: What the errors say.
+MESSAGES = {
+    "STR": "Not a string.",
+    "NUM": "Not a number.",
+    "BOOL": "Not a boolean.",
+    "ARR": "Not an array.",
+    "TUP": "Not a tuple.",
+    "OBJ": "Not an object.",
+    "MAP": "Not a map.",
+    "KEY": "Missing key.",
+    "KEYS": "Too many or missing object keys.",
+    "BIN": "Not a binary.",
+    "OR": "None of types matched.",
+    "REF": "Validation error in referenced type.",
+    "ENUM": "Not an enum value.",
+    "CONST": "Invalid constant.",
+    "VALIDATION": "Custom validator failed.",
+    "INT": "Not an integer.",
+    "UINT": "Not an unsigned integer.",
+    "STR_LEN": "Invalid string length.",
+    "ARR_LEN": "Invalid array length.",
+    "GT": "Value is too small.",
+    "GTE": "Value is too small.",
+    "LT": "Value is too large.",
+    "LTE": "Value is too large.",
+    "BIN_LEN": "Invalid binary length.",
+}
 RANGES = {"i8": (-(2**7), 2**7 - 1), "i16": (-(2**15), 2**15 - 1), "i32": (-(2**31), 2**31 - 1), "u8": (0, 2**8 - 1), "u16": (0, 2**16 - 1), "u32": (0, 2**32 - 1)}
 SPARK = {"i8": T.ByteType(), "i16": T.ShortType(), "i32": T.IntegerType(), "i64": T.LongType(), "i": T.LongType(), "u8": T.ShortType(), "u16": T.IntegerType(), "u32": T.LongType(), "u64": T.DecimalType(20, 0), "u": T.DecimalType(20, 0), "f32": T.FloatType(), "f64": T.DoubleType(), "f": T.DoubleType()}
 
@@ -24,19 +56,38 @@ class SchemaError(ValueError):
     """A schema that is not well formed."""
 
 
+KINDS = "any con bool num str bin arr obj map ref or enum key fn fn$ alias module".split()
+
+
+def message(code: str) -> str:
+    return MESSAGES[code]
+
+
 def check(schema: dict) -> None:
     """Raise for a schema that is not well formed."""
     kind = schema.get("kind")
-    if kind not in ("any", "con", "bool", "num", "str", "bin", "arr", "obj", "map", "ref", "or"):
+    if kind not in KINDS:
         raise SchemaError(f"unknown kind {kind!r}")
     if kind == "num":
         if schema.get("format", "f64") not in SPARK:
             raise SchemaError("INVALID_FORMAT")
         if "gt" in schema and "gte" in schema or "lt" in schema and "lte" in schema:
             raise SchemaError("GT_GTE" if "gt" in schema and "gte" in schema else "LT_LTE")
+        if schema.get("gt", schema.get("gte", -float("inf"))) > schema.get("lt", schema.get("lte", float("inf"))):
+            raise SchemaError("GT_LT")
     if kind in ("str", "arr", "bin") and schema.get("min", 0) > schema.get("max", float("inf")):
         raise SchemaError("MIN_MAX")
-    for part in [*schema.get("head", []), *schema.get("tail", []), *schema.get("types", []), *(f["value"] for f in schema.get("keys", [])), *([schema["type"]] if "type" in schema else []), *([schema["value"]] if kind == "map" else [])]:
+    if kind == "arr" and not {"type", "head", "tail"} & schema.keys():
+        raise SchemaError("EMPTY_ARR")
+    if kind == "arr" and "tail" in schema and "type" not in schema:
+        raise SchemaError("LONE_TAIL")
+    if kind == "ref" and not schema.get("ref"):
+        raise SchemaError("REF_TYPE")
+    if kind in ("or", "enum") and not schema.get("types" if kind == "or" else "values"):
+        raise SchemaError("TYPES_LENGTH")
+    nested = [schema[k] for k in ("type", "req", "res") if k in schema]
+    nested += [schema["value"]] if kind in ("map", "key", "alias") else []
+    for part in [*schema.get("head", []), *schema.get("tail", []), *schema.get("types", []), *(f["value"] for f in schema.get("keys", [])), *nested]:
         check(part)
 
 
@@ -88,12 +139,148 @@ def _fails(code: str, bad: Column) -> Column:
     return F.when(F.coalesce(bad, F.lit(True)), F.lit(code))
 
 
+def recursive(schema: dict, modules: dict[str, dict] | None, above: frozenset = frozenset()) -> bool:
+    """Whether references lead back to a schema that is being read."""
+    if schema["kind"] == "ref":
+        name = schema["ref"]
+        return name in above or recursive((modules or {})[name], modules, above | {name})
+    nested = [*schema.get("head", []), *schema.get("tail", []), *schema.get("types", []), *(f["value"] for f in schema.get("keys", []))]
+    nested += [schema["type"]] if "type" in schema else []
+    nested += [schema["value"]] if schema["kind"] == "map" else []
+    return any(recursive(s, modules, above) for s in nested)
+
+
 def validator(v: Column, schema: dict, modules: dict[str, dict] | None = None) -> Column:
-    """Code of the first error of a VARIANT under a schema; NULL if it is valid."""
+    """Code of the first error of a VARIANT under a schema; NULL if it is valid.
+
+    Schemas that lead back to themselves have no finite expression; their values are checked
+    in Arrow batches, to any depth.
+    """
+    if recursive(schema, modules):
+        return faults(F.to_json(v), schema, modules)["code"]
+    return _validator(v, schema, modules)
+
+
+def faults(text: Column, schema: dict, modules: dict[str, dict] | None = None) -> Column:
+    """The first error of JSON texts: code, message and the path to it as a JSON Pointer; NULL fields if valid."""
+
+    @arrow("struct<code:string,message:string,path:string>")
+    def run(own: pd.Series) -> pd.DataFrame:
+        def one(raw):
+            fault = None if raw is None else first_error(json.loads(raw), schema, modules)
+            if fault is None:
+                return (None, None, None)
+            return fault[0], MESSAGES[fault[0]], "".join("/" + str(k).replace("~", "~0").replace("/", "~1") for k in fault[1])
+
+        return pd.DataFrame([one(raw) for raw in own], columns=["code", "message", "path"])
+
+    return run(text)
+
+
+Fault = tuple[str, list]
+
+
+def first_error(value, schema: dict, modules: dict[str, dict] | None = None, path: tuple = ()) -> Fault | None:
+    """(code, path) of the first error of a JSON value under a schema; None if it is valid."""
+    kind = schema["kind"]
+    fault: Callable[[str], Fault] = lambda code: (code, list(path))
+    inside = lambda v, s, *steps: first_error(v, s, modules, (*path, *steps))
+    found: Fault | None = None
+    if kind == "con":
+        found = None if _alike(value, schema["value"]) else fault("CONST")
+    elif kind == "enum":
+        found = None if any(_alike(value, v) for v in schema["values"]) else fault("ENUM")
+    elif kind == "bool":
+        found = None if isinstance(value, bool) else fault("BOOL")
+    elif kind == "num":
+        code = _number_error(value, schema)
+        found = fault(code) if code else None
+    elif kind == "str":
+        plain = isinstance(value, str) and (value.isascii() or not (schema.get("ascii") or schema.get("format") == "ascii"))
+        found = (None if _fits(len(value), schema) else fault("STR_LEN")) if plain else fault("STR")
+    elif kind == "bin":
+        bytes_like = isinstance(value, list) and all(type(b) in (int, float) and 0 <= b <= 255 for b in value)
+        found = (None if _fits(len(value), schema) else fault("BIN_LEN")) if bytes_like else fault("BIN")
+    elif kind == "map":
+        found = fault("MAP") if not isinstance(value, dict) else next((e for k, v in value.items() if (e := inside(v, schema["value"], k))), None)
+    elif kind == "ref":
+        found = fault("REF") if inside(value, (modules or {})[schema["ref"]]) else None
+    elif kind == "or":
+        found = fault("OR") if all(inside(value, s) for s in schema["types"]) else None
+    elif kind == "arr":
+        found = _array_error(value, schema, fault, inside)
+    elif kind == "obj":
+        found = _object_error(value, schema, fault, inside)
+    if found is None and "check" in schema and not schema["check"](value):
+        return fault("VALIDATION")
+    return found
+
+
+def _alike(a, b) -> bool:
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_alike, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_alike(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def _fits(size: int, schema: dict) -> bool:
+    return schema.get("min", 0) <= size <= schema.get("max", float("inf"))
+
+
+def _number_error(n, schema: dict) -> str | None:
+    form = schema.get("format", "f64")
+    if isinstance(n, bool) or not isinstance(n, (int, float)):
+        return "NUM"
+    whole = {"i": "INT", "u": "UINT"}.get(form[0])
+    low, high = RANGES.get(form, (0 if form[0] == "u" else -float("inf"), float("inf")))
+    if whole and (n != n // 1 or not low <= n <= high):
+        return whole
+    tests = (("gt", "GT", lambda x: n <= x), ("gte", "GTE", lambda x: n < x), ("lt", "LT", lambda x: n >= x), ("lte", "LTE", lambda x: n > x))
+    return next((code for key, code, bad in tests if key in schema and bad(schema[key])), None)
+
+
+def _array_error(value, schema: dict, fault: Callable, inside: Callable) -> Fault | None:
+    if not isinstance(value, list):
+        return fault("ARR")
+    head, tail = schema.get("head", []), schema.get("tail", [])
+    body = len(value) - len(head) - len(tail)
+    if body < 0 or body and "type" not in schema:
+        return fault("TUP")
+    if any(inside(value[k], s, k) for k, s in enumerate(head)):
+        return fault("TUP")
+    if "type" in schema:
+        if not _fits(body, schema):
+            return fault("ARR_LEN")
+        found = next((e for k in range(len(head), len(head) + body) if (e := inside(value[k], schema["type"], k))), None)
+        if found:
+            return found
+    return fault("TUP") if any(inside(value[k - len(tail)], s, len(value) + k - len(tail)) for k, s in enumerate(tail)) else None
+
+
+def _object_error(value, schema: dict, fault: Callable, inside: Callable) -> Fault | None:
+    if not isinstance(value, dict):
+        return fault("OBJ")
+    fields = schema.get("keys", [])
+    if not schema.get("unknown", schema.get("decodeUnknownKeys", False)) and value.keys() - {f["key"] for f in fields}:
+        return fault("KEYS")
+    for f in fields:
+        if f["key"] not in value:
+            if not f.get("optional"):
+                return fault("KEY")
+        elif found := inside(value[f["key"]], f["value"], f["key"]):
+            return found
+    return None
+
+
+def _validator(v: Column, schema: dict, modules: dict[str, dict] | None) -> Column:
     kind = schema["kind"]
     build: dict[str, Callable[[], Column]] = {
         "any": lambda: F.lit(None).cast("string"),
         "con": lambda: _fails("CONST", canonical(Val(v, "json")) != canonical(literal(schema["value"]))),
+        "enum": lambda: _fails("ENUM", ~F.greatest(F.lit(False), *[canonical(Val(v, "json")) == canonical(literal(x)) for x in schema["values"]])),
         "bool": lambda: _fails("BOOL", ~is_tag(v, "BOOLEAN")),
         "num": lambda: _number(v, schema),
         "str": lambda: _string(v, schema),
@@ -104,7 +291,8 @@ def validator(v: Column, schema: dict, modules: dict[str, dict] | None = None) -
         "ref": lambda: _fails("REF", validator(v, (modules or {})[schema["ref"]], modules).isNotNull()),
         "or": lambda: _fails("OR", ~F.greatest(F.lit(False), *[validator(v, s, modules).isNull() for s in schema["types"]])),
     }
-    return build[kind]()
+    own = build[kind]()
+    return _first(own, _fails("VALIDATION", ~schema["test"](v))) if "test" in schema else own
 
 
 def _number(v: Column, schema: dict) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.crdt import ORIGIN, UNDEFINED, Model, Sequence, from_units, units
+from docloom.operators.crdt import ORIGIN, UNDEFINED, Model, Sequence, from_units, units, spread
 from docloom.operators.edit import history, pair, snapshot
 from docloom.sources.codecs import CodecError, Reader, _cbor, _cbor_head, _whole, cbor_decode, cbor_encode
 from docloom.sources.patches import SERVER, _constant, _text, _undefined_or, b1vu56, read_b1vu56, read_relative_id, read_vu57, relative_id, vu57
@@ -373,7 +373,7 @@ def encode_documents(patches: DataFrame, doc: str, patch: str, form: str) -> Dat
         model = history(json.loads(p) for p in rows[patch].dropna())
         return pd.DataFrame([(names[0], encode(model))], columns=[doc, "state"])
 
-    return patches.select(doc, patch).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, state binary")
+    return spread(patches.select(doc, patch), doc).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, state binary")
 
 
 def document_views(states: DataFrame, doc: str, state: str, form: str) -> DataFrame:
@@ -406,7 +406,7 @@ def node_rows(patches: DataFrame, doc: str, patch: str) -> DataFrame:
         nodes = snapshot(history(json.loads(p) for p in rows[patch].dropna()))["nodes"]
         return pd.DataFrame([(names[0], k, *i, json.dumps(body, separators=(",", ":"), ensure_ascii=False)) for k, i, body in nodes], columns=[doc, "kind", "sid", "time", "body"])
 
-    return patches.select(doc, patch).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, kind string, sid long, time long, body string")
+    return spread(patches.select(doc, patch), doc).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, kind string, sid long, time long, body string")
 
 
 def touched_nodes(nodes: DataFrame, operations: DataFrame, doc: str) -> DataFrame:
