@@ -22,17 +22,17 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, in_fold, in_one_task, small_batches
+from docloom.llm.common import MemberFilter, Scratch, in_fold, in_one_task, small_batches, text_or_empty
 from docloom.llm.tokens import gathered, word_codes
 
 BITS = 20
@@ -40,36 +40,42 @@ BITS = 20
 SAMPLE, MOST_TERMS, FACTORS = 8000, 12_000_000, 8
 DILUTE = 40
 STEMS = (4, 5)
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_KNOWN: dict[str, tuple[int, ...]] = {}
+#: Fixed value: what is cut from both ends of a word.
+EDGE = r"^[^\pL\pN]+|[^\pL\pN]+$"
+#: Text that is scored at once.
+SLICE_BYTES = 2 << 20
+
+
+def word_terms(words: pa.Array) -> np.ndarray:
+    """Hashed terms of each word, itself and its stems; -1 for words without a letter or digit."""
+    bare = pc.replace_substring_regex(pc.utf8_lower(words), EDGE, "")
+    out = np.empty((len(words), 1 + len(STEMS)), np.int64)
+    for k, (mark, own) in enumerate([(b"w:", bare), *((f"s{n}:".encode(), pc.utf8_slice_codeunits(bare, 0, n)) for n in STEMS)]):
+        coded, start = own.dictionary_encode(), zlib.crc32(mark)
+        raw = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashed = np.fromiter((zlib.crc32(x, start) if x else -1 for x in raw), np.int64, len(raw))
+        out[:, k] = np.where(hashed < 0, -1, hashed >> (32 - BITS))[np.asarray(coded.indices)]
+    return out
 
 
 def buckets(word: str) -> tuple[int, ...]:
-    """Hashed terms of one word: itself and its stem."""
-    found = _KNOWN.get(word)
-    if found is None:
-        if len(_KNOWN) > 100_000:
-            _KNOWN.clear()
-        bare = _EDGE.sub("", word.lower())
-        names = {f"w:{bare}", *(f"s{n}:{bare[:n]}" for n in STEMS)} if bare else set()
-        found = _KNOWN[word] = tuple(zlib.crc32(n.encode()) >> (32 - BITS) for n in names)
-    return found
+    """Hashed terms of one word."""
+    return tuple(t for t in word_terms(pa.array([word])).ravel().tolist() if t >= 0)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
 
 
 def expand(text: np.ndarray, codes: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text index, bucket) of every distinct term of the given words, by text."""
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(text * len(distinct) + codes)
-    text, code = pairs // len(distinct), pairs % len(distinct)
-    used, code = np.unique(code, return_inverse=True)
-    own = [buckets(w) for w in distinct.take(pa.array(used)).to_pylist()]
-    sizes = np.fromiter(map(len, own), np.int64, len(own))
-    flat = np.fromiter((b for o in own for b in o), np.int64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    reps = sizes[code]
-    where = np.repeat(starts[code], reps) + np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-    pairs = np.unique((np.repeat(text, reps) << BITS) + flat[where])
+    pairs = _distinct(text * len(distinct) + codes)
+    terms = word_terms(distinct)[pairs % len(distinct)]
+    pairs = ((pairs // len(distinct))[:, None] << BITS) + terms
+    pairs = _distinct(pairs[terms >= 0])
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -229,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in gathered(batches, 1, 4 << 20):
+        for part in gathered(batches, 1, SLICE_BYTES):
             text, bucket = term_lists(part.column(1))
             ends = np.searchsorted(text, np.arange(part.num_rows + 1))
             raw = [bucket[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -243,12 +249,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     return pickle.loads(made)
 
 
-def score_table(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and score of every document, or its ``carry`` columns and score."""
-    narrow = docs.select(F.col(text_col).alias("__text"), *([F.col(c) for c in carry] or [F.col(id_col).alias("doc_id")]))
+def _scored(docs: DataFrame, model: Machine, text_col: str, carry: dict) -> DataFrame:
+    """The ``carry`` columns (by name) and the score of every document."""
+    narrow = docs.select(F.col(text_col).alias("__text"), *(c.alias(n) for n, c in carry.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in gathered(batches, 0, 4 << 20):
+        for part in gathered(batches, 0, SLICE_BYTES):
             score = pa.array(model.score(part.column(0)))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], score], [*part.schema.names[1:], "score"])
 
@@ -256,8 +262,25 @@ def score_table(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_co
     return narrow.mapInArrow(run, f"{fields}, score double")
 
 
-def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with their columns."""
-    model = fit(docs, labels)
-    scored = score_table(docs.withColumnsRenamed({"score": "_own_score"}), model, carry=tuple("_own_score" if c == "score" else c for c in docs.columns))
-    return scored.filter(F.col("score") < threshold).drop("score").withColumnsRenamed({"_own_score": "score"}).select(docs.columns)
+def score_table(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every document."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    with small_batches(docs.sparkSession):
+        return scratch.save(_scored(docs, model, text_col, {"doc_id": F.col(id_col)}), "scores")
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with their columns.
+
+    A score depends on the text alone, so tasks keep the digests of toxic texts only, and
+    rows leave by digest: those that a bounded filter rules out pass where they lie.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    digest = F.unhex(F.sha2(text_or_empty(F.col(text_col)).cast("binary"), 256))
+    model = fit(docs, labels, text_col=text_col)
+    with small_batches(docs.sparkSession):
+        toxic = _scored(docs, model, text_col, {"__digest": digest}).filter(F.col("score") >= threshold)
+        toxic = scratch.save(toxic.select("__digest").distinct(), "toxic")
+    may, clean = MemberFilter(toxic, scratch, "filter").split(docs.withColumn("__digest", digest), "__digest")
+    clean = clean.unionByName(may.join(toxic, "__digest", "left_anti"))
+    return clean.select(docs.columns)

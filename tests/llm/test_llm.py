@@ -523,10 +523,14 @@ def test_toxicity(odd, spark):
     scored = toxicity.score_table(odd, model).collect()
     assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.not_toxic(odd, labels).columns == odd.columns
-    equal = collections.defaultdict(set)
-    for r in odd.join(toxicity.score_table(odd, model, carry=("text", "doc_id")).select("doc_id", F.col("text").alias("t"), F.col("score").alias("s")), "doc_id").collect():
-        equal[r.t].add(r.s)
-    assert all(len(v) == 1 for v in equal.values())
+    by_text = {r.text: float(model.score(pa.array([r.text], pa.string()))[0]) for r in odd.collect()}
+    want = collections.Counter((r.doc_id, round(by_text[r.text], 6)) for r in odd.collect())
+    assert collections.Counter((r.doc_id, round(r.score, 6)) for r in scored) == want
+    small = [spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels")]
+    own = toxicity.fit(*small)
+    twice = small[0].unionByName(small[0])
+    low = collections.Counter(r.doc_id for r in toxicity.score_table(twice, own).collect() if r.score < 0.5)
+    assert collections.Counter(r.doc_id for r in toxicity.not_toxic(twice, small[1]).collect()) == low
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert before == "10000"  # the session's setting is left alone
     none = toxicity.fit(empty(spark), labels)
