@@ -1,31 +1,39 @@
-"""Katz backoff language model: training and scoring over partitioned tables.
-
-Bigrams back off to unigrams. Both levels are Good-Turing discounted; a history's backoff
-weight is its left-over mass over the unigram mass of the words not seen after it, so each
-history's distribution sums to one over the vocabulary and the unknown word.
-
-Texts are read once, in blocks of some megabytes. What travels is per block and not
-per token: a block asks the partitions of the vocabulary for its distinct words and gets
-their counts and numbers; it then sends its distinct bigrams, with the documents that hold
-them, to the partitions of the histories. There counts merge, backoff weights are stored,
-and every document's tokens are evaluated by the recursion
-
-    p(w | h) = d(c(h, w)) c(h, w) / c(h)  if c(h, w) > 0, else  alpha(h) p(w).
-
-Histories above a fixed share of all tokens (at most four per partition can be) are spread
-over all partitions by word, and their sums are merged first. All tables lie in the shared
-folder: ``unigrams`` and ``bigrams`` by partition, and ``scores`` with the backoff weights.
-
-Words are identified by 64-bit hashes. Defined cases: a null or blank text is the end token
-alone; null ids are trained on and returned; repeated rows count each; without training
-rows every token is the unknown word, with probability one. An empty table gives an empty
-result; extra columns are ignored.
+"""Katz backoff language model of any order: training and scoring over partitioned tables.
+
+Every level is Good-Turing discounted; a history's backoff weight is its left-over mass over
+the lower level's mass of the words not seen after it, so each history's distribution sums to
+one over the vocabulary and the unknown word. Tokens are evaluated by the recursion
+
+    p(w | h) = d(c(h w)) c(h w) / c(h)  if c(h w) > 0, else  alpha(h) p(w | h without its oldest word),
+
+with alpha one for histories that training has not seen, down to the unigrams. Histories do
+not reach beyond a text's start, which counts as one word.
+
+Texts are read once, in blocks of some megabytes. What travels is per block and not per
+token. A block asks the partitions of the vocabulary for its distinct words and gets their
+counts and numbers. Then, level by level, it sends its distinct n-grams of seen histories,
+with their training counts, to the partitions of the histories. There counts merge, and the
+block gets its n-grams' counts and, where a word was not seen after a history, what that
+history's backoff weight takes. A block's tokens are evaluated where the block lies.
+
+Partitions are as many as keep each to about ``GROUP`` n-grams, so rows and groups are of
+bounded size at every input. Histories above a fixed share of all tokens (so their number is
+bounded by the partitions') are spread over all partitions by word, and their sums are merged
+first. All tables lie in the shared folder.
+
+Words are identified by 64-bit hashes, histories of three words and more too. Defined cases: a
+null or blank text is the end token alone; a very long text is a block of its own; null ids are
+trained on and returned; repeated rows count each; without training rows every token is the
+unknown word, with probability one. An empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,7 +47,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import Scratch, shuffle_width, small_batches
 from docloom.llm.tokens import gathered, word_codes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: N-grams of a partition, about.
+GROUP = 1 << 20
 #: Good-Turing applies to counts up to this.
 GT_MOST = 5
 END = xxhash.xxh64_intdigest(b" end")  # holds a space, so it is no word's hash input
@@ -125,7 +135,8 @@ class Unigrams:
 
 _ROW = "kind int, key long, block long, data binary, ids binary, stats array<double>"
 _COLUMNS = ["kind", "key", "block", "data", "ids", "stats"]
-TOKENS, ASK, ANSWER, WORDS, TOTALS, DOCS, PAIRS = range(7)
+#: Kinds of rows; answers of level k have the kind ANSWER + k.
+TOKENS, ASK, WORDS, TOTALS, HOT, ANSWER = range(6)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -165,7 +176,7 @@ def blocks(docs: DataFrame, width: int, folds: int) -> DataFrame:
             ids = part.column(0)
             held = np.array([i is not None and zlib.crc32(str(i).encode()) % folds == 0 for i in ids.to_pylist()], bool)
             trained = np.bincount(tokens[np.repeat(~held, counts + 1)], minlength=len(hashes))[order]
-            rows = [(TOKENS, -1, block, pack(place[tokens], counts + 1, held.astype(np.uint8)), _ids_out(ids), None)]
+            rows = [(TOKENS, -1, block, pack(place[tokens], counts + 1, held.astype(np.uint8)), _ids_out(ids), [float((~held).sum())])]
             hashes = hashes[order]
             for p in np.unique(home).tolist():
                 a, b = cuts[p], cuts[p + 1]
@@ -192,7 +203,7 @@ def _count_words(width: int):
         for block, a in zip(rows["block"], asked, strict=True):
             own = inverse[at : at + len(a[0])]
             at += len(a[0])
-            out.append((ANSWER, p, int(block), pack(number[own], count[own]), None, None))
+            out.append((ANSWER + 1, p, int(block), pack(number[own], count[own]), None, None))
         seen = order[count[order] > 0]
         out.append((WORDS, p, -1, pack(distinct[seen], count[seen]), None, None))
         n_r = [int((count == r).sum()) for r in range(1, GT_MOST + 2)]
@@ -202,158 +213,199 @@ def _count_words(width: int):
     return run
 
 
-def _find_pairs(uni: Unigrams, width: int, hot_count: float):
-    """Per block: base scores, scores that need no history, and bigrams by history's partition."""
+@dataclass
+class Level:
+    """What is known of a level when blocks are read: discounts, and merged sums of hot histories
+    (history → smallest follower's count, n_1.., lower mass)."""
 
-    def run(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block = int(tokens["block"].iloc[0])
-        stream, sizes, held = unpack(tokens["data"].iloc[0])
-        number = np.full(int(stream.max()) + 1, UNKNOWN)
-        count = np.zeros(len(number), np.int64)
-        for p, data in zip(answers["key"], answers["data"], strict=True):
-            numbers, counts = unpack(data)
-            number[np.arange(len(numbers)) * width + p], count[np.arange(len(numbers)) * width + p] = numbers, counts
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        starts = np.cumsum(sizes) - sizes
-        c = count[stream]
-        base = np.bincount(doc, uni.base(c), len(sizes))
-        known = np.bincount(doc[c > 0], minlength=len(sizes))
-        # Local histories: 0 is the start of a text, the others are words shifted by one.
-        history = np.concatenate([[0], stream[:-1] + 1])
-        history[starts] = 0
-        h_number, h_count = np.concatenate([[BOS], number]), np.concatenate([[np.iinfo(np.int64).max], count])
-        alone = h_count[history] == 0
-        score = np.bincount(doc[alone], np.log10(uni.p(c[alone])), len(sizes))
-        rows = [(DOCS, block % width, block, pack(sizes, held, known, base, score), bytes(tokens["ids"].iloc[0]), None)]
-        keep = np.flatnonzero(~alone)
-        word = np.where(c > 0, stream, len(count))  # unknown words are one event
-        pair = history[keep] * (len(count) + 1) + word[keep]
-        both, times = _unique_pairs(pair, doc[keep])
-        pairs, first = np.unique(both[0], return_index=True)
-        trained = np.add.reduceat(np.where(held[both[1]] == 0, times, 0), first) if len(first) else np.zeros(0, np.int64)
-        docs_of = np.diff(np.append(first, both.shape[1]))
-        h, w = pairs // (len(count) + 1), pairs % (len(count) + 1)
-        h_num, w_num = h_number[h], np.append(number, UNKNOWN)[w]
-        w_count = np.append(count, 0)[w]
-        hot = h_count[h] > hot_count
-        home = np.where(hot, (h_num * 31 + w_num * 7919) % width, h_num % width)
-        order = np.lexsort((w_num, h_num, home))
-        cuts = np.searchsorted(home[order], np.arange(width + 1))
-        for p in np.unique(home).tolist():
-            own = order[cuts[p] : cuts[p + 1]]
-            spread = np.repeat(first[own], docs_of[own]) + np.arange(int(docs_of[own].sum())) - np.repeat(np.cumsum(docs_of[own]) - docs_of[own], docs_of[own])
-            change = np.flatnonzero(np.r_[True, h_num[own][1:] != h_num[own][:-1]])
-            runs = np.diff(np.append(change, len(own)))
-            rows.append((PAIRS, p, block, pack(steps(h_num[own][change]), runs, hot[own][change].astype(np.uint8), w_num[own], w_count[own], trained[own], docs_of[own], both[1][spread], times[spread]), None, None))
-        return pd.DataFrame(rows, columns=_COLUMNS)
+    d: np.ndarray
+    hot: dict[int, list[float]]
 
-    return run
 
+def taken(d: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Mass, in counts, that discounting takes from followers seen 1, 2, .. times."""
+    return (rare[:, : len(d)] * np.arange(1, len(d) + 1) * (1 - d)).sum(axis=1)
 
-def _unique_pairs(pair: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (pair, doc), sorted, and how often each occurs."""
-    order = np.lexsort((doc, pair))
-    pair, doc = pair[order], doc[order]
-    edge = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]) if len(pair) else np.zeros(0, np.int64)
-    return np.stack([pair[edge], doc[edge]]), np.diff(np.append(edge, len(pair)))
 
+def discounted(d: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Counts after discounting."""
+    return np.where(count <= len(d), np.concatenate([[0.0], d])[np.minimum(count, len(d))], 1.0) * count
 
-_MERGED = "key long, bigrams binary, blocks array<long>, held array<binary>, n_r array<double>, hot array<struct<history:long,stats:array<double>>>, docs array<struct<block:long,data:binary,ids:binary>>"
 
-
-def _merge_pairs(uni: Unigrams):
-    """One row per partition: its bigram counts, where its documents use them, and its blocks' documents."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        mine = rows[rows["kind"] == DOCS]
-        docs = [{"block": int(b), "data": bytes(d), "ids": bytes(i)} for b, d, i in zip(mine["block"], mine["data"], mine["ids"], strict=True)]
-        out = {"key": int(rows["key"].iloc[0]), "bigrams": None, "blocks": [], "held": [], "n_r": [], "hot": [], "docs": docs}
-        rows = rows[rows["kind"] == PAIRS]
-        if not len(rows):
-            return pd.DataFrame([out])
-        got = [unpack(d) for d in rows["data"]]
-        history = np.concatenate([np.repeat(np.cumsum(g[0]), g[1]) for g in got])
-        is_hot = np.concatenate([np.repeat(g[2], g[1]) for g in got])
-        word, w_count, trained = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
-        order = np.lexsort((word, history))
-        edge = np.r_[True, (history[order][1:] != history[order][:-1]) | (word[order][1:] != word[order][:-1])]
-        index = np.empty(len(order), np.int64)
-        index[order] = np.cumsum(edge) - 1
-        lead = order[edge]
-        count = np.bincount(index, trained).astype(np.int64)
-        history, word, w_count, is_hot = history[lead], word[lead], w_count[lead], is_hot[lead]
-        at = 0
-        for g in got:  # a block's pairs are in the order of the merged ones
-            out["held"].append(pack(steps(index[at : at + len(g[3])]), g[6], g[7], g[8]))
-            at += len(g[3])
-        seen = count > 0
-        out["n_r"] = [float((count == r).sum()) for r in range(1, GT_MOST + 2)]
-        for h in np.unique(history[is_hot == 1]).tolist():
-            own = (history == h) & seen
-            out["hot"].append({"history": h, "stats": [float(count[own].sum()), *(float((count[own] == r).sum()) for r in range(1, GT_MOST + 1)), float(uni.p(w_count[own]).sum())]})
-        names, runs = np.unique(history, return_counts=True)
-        mass = np.bincount(np.repeat(np.arange(len(names)), runs), np.where(seen, uni.p(w_count), 0), len(names))
-        out["bigrams"] = pack(steps(names), runs, mass, word, count, w_count[~seen])
-        out["blocks"] = [int(b) for b in rows["block"]]
-        return pd.DataFrame([out])
-
-    return run
+def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """A 64-bit mix of two numbers, as unsigned."""
+    x = (a.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15) + (b.astype(np.uint64) if isinstance(b, np.ndarray) else np.uint64(b))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
 
 
-def backoff(total: np.ndarray, rare: np.ndarray, d: np.ndarray, seen_mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(denominator, alpha) of histories from their counts, n_1..n_k and seen unigram mass.
+class Block:
+    """A block's tokens and, level by level, its distinct n-grams with their training counts.
 
-    A history whose followers are all frequent has no left-over mass; one more count is
-    added to its total for the words not seen, and the distribution still sums to one.
+    Per token: ``gram`` (its n-gram of the last level, -1 where the history is unseen) and
+    ``p``. Per n-gram of the last level: ``count`` and ``key``, its number as a history.
     """
-    left = (rare[:, : len(d)] * np.arange(1, len(d) + 1) * (1 - d)).sum(axis=1)
-    bottom = np.where(left > 0, total, total + 1.0)
-    left = np.where(left > 0, left, 1.0)
-    return bottom, left / bottom / np.maximum(1 - seen_mass, 1e-300)
 
+    def __init__(self, tokens: pd.DataFrame, answers: pd.DataFrame, uni: Unigrams, width: int, texts: int):
+        self.stream, self.sizes, self.held = unpack(tokens["data"].iloc[0])
+        n = int(self.stream.max()) + 1
+        number, count = np.full(n + 1, UNKNOWN), np.zeros(n + 1, np.int64)
+        for p, data in zip(answers["key"], answers["data"], strict=True):
+            numbers, counts = unpack(data)
+            at = np.arange(len(numbers)) * width + p
+            number[at], count[at] = numbers, counts
+        self.uni, self.number = uni, number
+        self.word = np.where(count[self.stream] > 0, self.stream, n)  # unknown words are one event
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.first = np.zeros(len(self.stream), bool)
+        self.first[np.cumsum(self.sizes) - self.sizes] = True
+        self.trained = self.held[self.doc] == 0
+        self.c1 = count[self.stream]
+        self.order = 1
+        # The last entry is the start of a text, a history of its own.
+        self.gram, self.count, self.key = self.word, np.append(count, texts), np.append(number, BOS)
+        self.p, self.bottom = uni.p(self.c1), np.ones(len(self.stream))
+
+    def ask(self, partitions: int, hot_count: float) -> None:
+        """The distinct n-grams of the next level, in the order in which partitions get them."""
+        self.order += 1
+        before = np.concatenate([[-1], self.gram[:-1]])
+        before[self.first] = len(self.count) - 1 if self.order == 2 else -1
+        seen = before >= 0
+        seen[seen] = self.count[before[seen]] > 0
+        self.at = np.flatnonzero(seen)
+        pairs, inverse = np.unique(before[self.at] * len(self.number) + self.word[self.at], return_inverse=True)
+        h, w = pairs // len(self.number), pairs % len(self.number)
+        # The suffix of an n-gram is the lower n-gram that ends at the same token.
+        own = self.gram[self.at]
+        low = np.where(own >= 0, self.count[own], 0) if self.order > 2 else self.c1[self.at]
+        suffix, trained = np.zeros(len(pairs), np.int64), np.bincount(inverse, self.trained[self.at], len(pairs)).astype(np.int64)
+        suffix[inverse] = low
+        key, word, total = self.key[h], self.number[w], self.count[h]
+        hot = total > hot_count
+        home = np.where(hot, mixed(mixed(key, 1), word), mixed(key, 1)) % np.uint64(partitions)
+        turn = np.lexsort((word, key, home))
+        place = np.empty(len(turn), np.int64)
+        place[turn] = np.arange(len(turn))
+        self.slot = place[inverse]  # of every asked token
+        self.home, self.history, self.follower, self.hot = home[turn].astype(np.int64), key[turn], word[turn], hot[turn]
+        self.total, self.suffix, self.new = total[turn], suffix[turn], trained[turn]
+        if self.order == 2:
+            self.next_key = (self.history + 2 << 32) + self.follower + 2
+        else:
+            self.next_key = mixed(self.history, self.follower).view(np.int64)
+
+    def messages(self) -> Iterator[tuple[int, bytes]]:
+        if not len(self.home):
+            return
+        cuts = np.flatnonzero(np.r_[True, self.home[1:] != self.home[:-1]])
+        for a, b in zip(cuts, np.append(cuts[1:], len(self.home)), strict=True):
+            change = np.flatnonzero(np.r_[True, self.history[a + 1 : b] != self.history[a : b - 1]])
+            runs = np.diff(np.append(change, b - a))
+            yield int(self.home[a]), pack(steps(self.history[a:b][change]), runs, self.hot[a:b][change].astype(np.uint8), self.follower[a:b], self.new[a:b], self.suffix[a:b])
+
+    def learn(self, answers: pd.DataFrame, level: Level) -> None:
+        """Take the partitions' answers and evaluate the tokens at this level."""
+        n, d = len(self.home), level.d
+        count = np.zeros(n, np.int64)
+        change = np.flatnonzero(np.r_[True, (self.history[1:] != self.history[:-1]) | (self.home[1:] != self.home[:-1])]) if n else np.zeros(0, np.int64)
+        least, left, lower = np.zeros(len(change), np.int64), np.zeros(len(change)), np.zeros(len(change))
+        for home, data in zip(answers["key"], answers["data"], strict=True):
+            counts, low, needed, rare, mass = unpack(data)
+            a = np.searchsorted(self.home, home)
+            first = np.searchsorted(change, a)
+            count[a : a + len(counts)] = counts
+            least[first : first + len(low)] = low
+            at = first + np.cumsum(needed)
+            left[at] = taken(d, rare.reshape(-1, GT_MOST))
+            lower[at] = mass
+        names = self.history[change]
+        for k in np.flatnonzero(self.hot[change]).tolist():
+            own = level.hot.get(int(names[k]))
+            if own:
+                least[k], left[k], lower[k] = own[0], taken(d, np.array([own[1:-1]]))[0], own[-1]
+        which = np.searchsorted(change, np.arange(n), side="right") - 1
+        # A history whose followers are all frequent has no left-over mass; one more count is
+        # added to its total for the words not seen, and the distribution still sums to one.
+        none = least > len(d)
+        bottom = self.total + none[which].astype(float)
+        rest = np.where(none, 1.0, left)[which]
+        slot, at = self.slot, self.at
+        below, gained = self.bottom[at], count[slot]
+        alpha = rest[slot] / bottom[slot] / np.maximum(1 - lower[which][slot] / below, 1e-300)
+        self.p[at] = np.where(gained > 0, discounted(d, gained) / bottom[slot], alpha * self.p[at])
+        self.bottom = np.ones(len(self.stream))
+        self.bottom[at] = bottom[slot]
+        self.gram = np.full(len(self.stream), -1)
+        self.gram[at] = slot
+        self.count, self.key = count, self.next_key
+
+
+def _opened(tokens: pd.DataFrame, answers: pd.DataFrame, uni: Unigrams, width: int, texts: int, levels: list[Level], partitions: int, hot_count: float) -> Block:
+    block = Block(tokens, answers[answers["kind"] == ANSWER + 1], uni, width, texts)
+    for k, level in enumerate(levels, 2):
+        block.ask(partitions, hot_count)
+        block.learn(answers[answers["kind"] == ANSWER + k], level)
+    return block
+
+
+def _asking(*context):
+    """Each block's n-grams of the next level, by partition."""
+    *_, partitions, hot_count = context
 
-def _score(uni: Unigrams, d: np.ndarray, hot: dict[int, list[float]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                key, bigrams, block_ids, held = (batch.column(i)[k].as_py() for i in range(4))
-                names, runs, mass, word, count, unseen = unpack(bigrams)
-                names, where = np.cumsum(names), np.repeat(np.arange(len(runs)), runs)
-                mass, seen = mass.copy(), count > 0
-                w_count = np.zeros(len(count), np.int64)
-                w_count[~seen] = unseen
-                total = np.bincount(where, count, len(names))
-                rare = np.stack([np.bincount(where[count == r], minlength=len(names)) for r in range(1, GT_MOST + 1)], axis=1).astype(float)
-                for i in np.flatnonzero(np.isin(names, list(hot))).tolist():
-                    total[i], rare[i], mass[i] = (s := hot[int(names[i])])[0], s[1:-1], s[-1]
-                bottom, alpha = backoff(total, rare, d, mass)
-                alpha, bottom = np.where(total > 0, alpha, 1.0), np.maximum(bottom, 1.0)
-                factor = np.where(count <= len(d), np.concatenate([[0.0], d])[np.minimum(count, len(d))], 1.0)
-                p = np.where(seen, factor * count / bottom[where], alpha[where] * uni.p(w_count))
-                logs = np.log10(p)
-                yield _scores([(key, -1, pack(names, np.log10(alpha)))])
-                for block, data in zip(block_ids, held, strict=True):
-                    index, docs_of, doc, times = unpack(data)
-                    part = np.bincount(doc, np.repeat(logs[np.cumsum(index)], docs_of) * times)
-                    used = np.unique(doc)
-                    yield _scores([(key, block, pack(used, part[used]))])
+    def run(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        block = _opened(tokens, answers, *context)
+        block.ask(partitions, hot_count)
+        at = int(tokens["block"].iloc[0])
+        return pd.DataFrame([(ASK, home, at, data, None, None) for home, data in block.messages()], columns=_COLUMNS)
 
     return run
 
 
-def _scores(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "block", "data"])
+def _merging(order: int, lower_mass):
+    """One partition's counts: answers to its blocks, n_r, and partial sums of hot histories."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        key = int(rows["key"].iloc[0])
+        got = [unpack(d) for d in rows["data"]]
+        history = np.concatenate([np.repeat(np.cumsum(g[0]), g[1]) for g in got])
+        word, trained, suffix = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
+        hot = np.concatenate([np.repeat(g[2], g[1]) for g in got])
+        turn = np.lexsort((word, history))
+        edge = np.r_[True, (history[turn][1:] != history[turn][:-1]) | (word[turn][1:] != word[turn][:-1])]
+        index = np.empty(len(turn), np.int64)
+        index[turn] = np.cumsum(edge) - 1
+        lead = turn[edge]
+        count = np.bincount(index, trained, len(lead)).astype(np.int64)
+        mass = np.where(count > 0, lower_mass(suffix[lead]), 0.0)
+        names, start, where = np.unique(history[lead], return_index=True, return_inverse=True)
+        rare = np.stack([np.bincount(where[count == r], minlength=len(names)) for r in range(1, GT_MOST + 1)], axis=1)
+        sums = np.bincount(where, mass, len(names))
+        least = np.minimum.reduceat(np.where(count > 0, np.minimum(count, GT_MOST + 1), GT_MOST + 1), start)
+        out, at = [], 0
+        for block, g in zip(rows["block"], got, strict=True):
+            own = index[at : at + len(g[3])]
+            at += len(g[3])
+            runs = g[1]
+            mine = where[own[np.cumsum(runs) - runs]]
+            needed = np.flatnonzero(np.bincount(np.repeat(np.arange(len(runs)), runs), count[own] == 0, len(runs)) > 0)
+            out.append((ANSWER + order, key, int(block), pack(count[own], least[mine], steps(needed), rare[mine[needed]].ravel(), sums[mine[needed]]), None, None))
+        out.append((TOTALS, key, -1, None, None, [float((count == r).sum()) for r in range(1, GT_MOST + 2)]))
+        for h in np.unique(where[hot[lead] == 1]).tolist():
+            out.append((HOT, int(names[h]), -1, None, None, [float(least[h]), *map(float, rare[h]), float(sums[h])]))
+        return pd.DataFrame(out, columns=_COLUMNS)
+
+    return run
 
 
-def _finish(tokens: int):
-    def run(docs: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        sizes, held, known, base, score = unpack(docs["data"].iloc[0])
-        score = score.astype(float)
-        for data in parts.sort_values("key")["data"]:
-            used, part = unpack(data)
-            score[used] += part
-        ids = _ids_in(docs["ids"].iloc[0]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
-        return pd.DataFrame({"doc_id": ids, "held_out": held == 1, "n_tokens": sizes, "n_known": known, "train_tokens": tokens, "base_score": base.astype(float), "score": score})
+def _finishing(tokens_in_all: int, *context):
+    def run(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        block = _opened(tokens, answers, *context)
+        n = len(block.sizes)
+        total = lambda values: np.bincount(block.doc, values, n)
+        ids = _ids_in(tokens["ids"].iloc[0]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
+        known = total(block.c1 > 0).astype(np.int64)
+        return pd.DataFrame({"doc_id": ids, "held_out": block.held == 1, "n_tokens": block.sizes, "n_known": known, "train_tokens": tokens_in_all, "base_score": total(block.uni.base(block.c1)), "score": total(np.log10(block.p))})
 
     return run
 
@@ -366,7 +418,7 @@ def _release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the documents outside fold zero and score all of them.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -376,35 +428,42 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
     width = max(1, shuffle_width(spark))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     with small_batches(spark):
         first = scratch.save(blocks(narrow, width, folds), "blocks", "kind")
     if first.isEmpty():
-        return spark.createDataFrame([], f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return spark.createDataFrame([], result)
 
     columns = [F.col(c) for c in _COLUMNS]
-    words = scratch.save(first.filter(F.col("kind") == ASK).select(columns).groupBy("key").applyInPandas(_count_words(width), _ROW), "unigrams", "kind")
+    words = scratch.save(first.filter(F.col("kind") == ASK).select(columns).groupBy("key").applyInPandas(_count_words(width), _ROW), "level_1", "kind")
     scratch.drop(f"blocks/kind={ASK}")
-    totals = words.filter(F.col("kind") == TOTALS).select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
-    tokens, types, *n_r = (int(r["x"]) for r in totals)
+    tokens, types, *n_r = (int(x) for x in _summed(words))
     uni = Unigrams(tokens, types, n_r)
+    streams = first.filter(F.col("kind") == TOKENS).select(columns)
+    texts = int(_summed(first.filter(F.col("kind") == TOKENS))[0])
+    answers = words.filter(F.col("kind") == ANSWER + 1).select(columns)
+    partitions, hot_count = max(width, -(-tokens // GROUP)), tokens / (4 * width)
+    levels: list[Level] = []
+
+    def by_block(run, schema: str) -> DataFrame:
+        return streams.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+
+    for k in range(2, order + 1):
+        _release(docs)
+        asked = by_block(_asking(uni, width, texts, levels, partitions, hot_count), _ROW)
+        below = uni.p if k == 2 else functools.partial(discounted, levels[-1].d)
+        merged = scratch.save(asked.groupBy("key").applyInPandas(_merging(k, below), _ROW), f"level_{k}", "kind")
+        # Of each hot history the smallest count of a follower is a minimum, the rest are sums.
+        parts = merged.filter(F.col("kind") == HOT).select(F.col("key").alias("history"), F.posexplode("stats").alias("at", "x"))
+        whole = parts.groupBy("history", "at").agg(F.when(F.col("at") == 0, F.min("x")).otherwise(F.sum("x")).alias("x"))
+        hot = whole.groupBy("history").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s")).collect()
+        levels = [*levels, Level(discounts([int(x) for x in _summed(merged) or [0] * (GT_MOST + 1)]), {r["history"]: [x["x"] for x in r["s"]] for r in hot})]
+        answers = answers.unionByName(merged.filter(F.col("kind") == ANSWER + k).select(columns))
     _release(docs)
+    return by_block(_finishing(tokens, uni, width, texts, levels, partitions, hot_count), result)
 
-    left = first.filter(F.col("kind") == TOKENS).select(columns)
-    right = words.filter(F.col("kind") == ANSWER).select(columns)
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(_find_pairs(uni, width, tokens / (4 * width)), _ROW)
-    merged = scratch.save(found.groupBy("key").applyInPandas(_merge_pairs(uni), _MERGED), "bigrams", compression="uncompressed")
-    scratch.drop("blocks")
-    scratch.drop(f"unigrams/kind={ANSWER}")
-    _release(docs)
-    counts = merged.select(F.posexplode("n_r").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
-    d = discounts([int(r["x"]) for r in counts])
-    # At most four histories per partition are hot, by the share that makes them so.
-    parts = merged.select(F.explode("hot").alias("hot")).select(F.col("hot.history").alias("history"), F.posexplode("hot.stats").alias("at", "x"))
-    sums = parts.groupBy("history", "at").agg(F.sum("x").alias("x")).groupBy("history").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s")).collect()
-    hot = {r["history"]: [x["x"] for x in r["s"]] for r in sums}
-    ready = merged.filter("bigrams is not null").select("key", "bigrams", "blocks", "held")
-    scores = scratch.save(ready.mapInArrow(_score(uni, d, hot), "key long, block long, data binary"), "scores")
-
-    rows = merged.select(F.explode("docs").alias("d")).select("d.block", "d.data", "d.ids")
-    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(scores.filter("block >= 0").groupBy("block")).applyInPandas(_finish(tokens), out)
+
+def _summed(rows: DataFrame) -> list[float]:
+    """The ``stats`` of the rows of totals, summed by place."""
+    own = rows.filter("stats IS NOT NULL").filter(F.col("kind") != HOT).select(F.posexplode("stats").alias("at", "x"))
+    return [r["x"] for r in own.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()]

@@ -234,57 +234,93 @@ def test_packing_ids_of_random_texts():
 # -- language model
 
 
-def brute_katz(rows, folds=10):
-    streams, train = [], []
+def turing(counts):
+    """Discounts by count, from Katz's formula with the largest cut-off of at most five that works."""
+    n = collections.Counter(counts)
+    for k in range(5, 0, -1):
+        if all(n[r] for r in range(1, k + 1)):
+            cut = (k + 1) * n[k + 1] / n[1]
+            if cut < 1:
+                d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) for r in range(1, k + 1)}
+                if all(0 < x < 1 for x in d.values()):
+                    return d
+    return {r: 1 - 0.5 / r for r in range(1, 6)}
+
+
+def brute_katz(rows, order, folds=10):
+    """Scores by direct recursion over dictionaries, and sums of some histories' distributions."""
+    streams = []
     for doc_id, text in rows:
         own = [*words(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), 0]
-        held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
-        streams.append((held, own))
-        if not held:
-            train.append(own)
+        streams.append((doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0, own))
+    train = [s for held, s in streams if not held]
     uni = collections.Counter(w for s in train for w in s)
-    two = collections.Counter(p for s in train for p in zip([1, *s], s, strict=False))
     n, v = sum(uni.values()), len(uni)
-    model = katz.Unigrams(n, v, [sum(c == r for c in uni.values()) for r in range(1, 7)])
-    d = katz.discounts([sum(c == r for c in two.values()) for r in range(1, 7)])
-    follow = collections.defaultdict(dict)
-    for (h, w), c in two.items():
-        follow[h][w] = c
-    p1 = {w: float(model.p(np.array([c]))[0]) for w, c in uni.items()}
+    follow = collections.defaultdict(collections.Counter)  # history, the oldest word first -> followers
+    for s in train:
+        padded = [1, *s]
+        for i, w in enumerate(s, 1):
+            for k in range(1, order):
+                if i - k >= 0:
+                    follow[tuple(padded[i - k : i])][w] += 1
+    cut = {1: turing(uni.values())}
+    for k in range(2, order + 1):
+        cut[k] = turing([c for h, f in follow.items() if len(h) == k - 1 for c in f.values()])
+    rest = sum((1 - cut[1].get(c, 1)) * c for c in uni.values())
+    scale = 1.0
+    if n and not rest:
+        rest = scale = n / (n + 1)
 
     def p(h, w):
-        lower = p1.get(w, model.unknown)
-        if h not in follow:
-            return lower
-        own = follow[h]
-        left = sum((1 - d[c - 1]) * c for c in own.values() if c <= len(d))
-        bottom = sum(own.values()) + (left == 0)
-        left = left or 1.0
-        if w in own:
-            return (d[own[w] - 1] if own[w] <= len(d) else 1.0) * own[w] / bottom
-        return left / bottom / (1 - sum(p1[x] for x in own)) * lower
+        if not h:
+            return cut[1].get(uni[w], 1) * uni[w] * scale / n if uni[w] else (rest / n if n else 1.0)
+        seen, d = follow.get(h), cut[len(h) + 1]
+        if not seen:
+            return p(h[1:], w)
+        left = sum((1 - d.get(c, 1)) * c for c in seen.values())
+        total = sum(seen.values()) + (left == 0)
+        if seen[w]:
+            return d.get(seen[w], 1) * seen[w] / total
+        return (left or 1.0) / total / (1 - sum(p(h[1:], x) for x in seen if seen[x])) * p(h[1:], w)
 
     out = []
     for held, s in streams:
+        padded = [1, *s]
         base = sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s)
-        out.append((held, len(s), sum(uni[w] > 0 for w in s), n, base, sum(math.log10(p(h, w)) for h, w in zip([1, *s], s, strict=False))))
-    total = [sum(p(h, w) for w in uni) + p(h, None) for h in [1, *list(follow)[:5], "unseen word"]]
-    return out, total
+        score = sum(math.log10(p(tuple(padded[max(0, i - order + 1) : i]), w)) for i, w in enumerate(s, 1))
+        out.append((held, len(s), sum(uni[w] > 0 for w in s), n, base, score))
+    some = [h for h in follow if len(h) == order - 1][:4] + ([(1,), ("unseen word",)] if order > 1 else [()])
+    return out, [sum(p(h, w) for w in uni) + p(h, None) for h in some]
 
 
-def test_katz(odd, docs, spark):
-    for frame in (odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), docs):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(odd, docs, spark, order):
+    few = docs.filter("doc_id < 120")
+    for frame in (odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), few if order != 3 else docs):
         rows = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
-        want, total = brute_katz(rows)
+        want, total = brute_katz(rows, order)
         assert np.allclose(total, 1)
-        got = {r.doc_id: tuple(r)[1:] for r in katz.score(frame).collect()}
+        got = {r.doc_id: tuple(r)[1:] for r in katz.score(frame, order=order).collect()}
         for (doc_id, _), w in zip(rows, want, strict=True):
             assert got[doc_id][:4] == w[:4]
             assert np.allclose(got[doc_id][4:], w[4:], rtol=1e-9)
-    assert katz.score(odd).count() == len(ODD)
-    assert katz.score(empty(spark)).count() == 0
-    held = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
-    assert {r.train_tokens for r in katz.score(held).collect()} == {0}
+    if order == 3:
+        assert katz.score(odd).count() == len(ODD)
+        assert katz.score(empty(spark)).count() == 0
+        held = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+        assert {(r.train_tokens, r.score) for r in katz.score(held).collect()} == {(0, 0.0)}
+
+
+def test_katz_of_small_blocks_and_groups(docs, monkeypatch):
+    """Many blocks, many partitions, and histories that are hot in all of them."""
+    want = {r.doc_id: r.score for r in katz.score(docs).collect()}
+    monkeypatch.setattr(katz, "GROUP", 500)
+    common = docs.withColumn("text", F.concat(F.lit("the end of the "), F.coalesce("text", F.lit(""))))
+    rows = [(r.doc_id, r.text) for r in common.filter("doc_id < 60").select("doc_id", "text").collect()]
+    found = {r.doc_id: r.score for r in katz.score(common.filter("doc_id < 60").repartition(9)).collect()}
+    assert np.allclose([found[i] for i, _ in rows], [w[-1] for w in brute_katz(rows, 3)[0]])
+    got = {r.doc_id: r.score for r in katz.score(docs.repartition(5)).collect()}
+    assert np.allclose([got[i] for i in want], list(want.values()))
 
 
 def test_katz_blocks_and_partitions_do_not_matter(docs, monkeypatch):
