@@ -21,7 +21,8 @@ bounded size at every input. Histories above a fixed share of all tokens (so the
 bounded by the partitions') are spread over all partitions by word, and their sums are merged
 first. All tables lie in the shared folder.
 
-Words are identified by 64-bit hashes, histories of three words and more too. Defined cases: a
+Words are identified by 64-bit hashes, n-grams of a partition and histories of three words and
+more too. Defined cases: a
 null or blank text is the end token alone; a very long text is a block of its own; null ids are
 trained on and returned; repeated rows count each; without training rows every token is the
 unknown word, with probability one. An empty table gives an empty result; extra columns are
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, shuffle_width, small_batches
-from docloom.llm.tokens import gathered, word_codes
+from docloom.llm.tokens import gathered, releasing, word_codes
 
 BLOCK_BYTES = 4 << 20
 #: N-grams of a partition, about.
@@ -67,7 +68,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         head = f"{a.dtype.str},{len(a)};".encode()
         parts.append(head + a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     heads = "|".join(str(len(p)) for p in parts).encode()
-    return zstandard.ZstdCompressor(level=3).compress(heads + b"\n" + b"".join(parts))
+    return zstandard.ZstdCompressor(level=1).compress(heads + b"\n" + b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -139,6 +140,11 @@ _COLUMNS = ["kind", "key", "block", "data", "ids", "stats"]
 TOKENS, ASK, WORDS, TOTALS, HOT, ANSWER = range(6)
 
 
+def _stable(numbers: np.ndarray, below: int) -> np.ndarray:
+    """The order of small numbers; numpy sorts those of 16 bits by radix."""
+    return np.argsort(numbers.astype(np.uint16 if below < 1 << 16 else np.int64), kind="stable")
+
+
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _COLUMNS)
@@ -169,7 +175,8 @@ def blocks(docs: DataFrame, width: int, folds: int) -> DataFrame:
             home = (hashes % np.uint64(width)).astype(np.int64)
             # A word's number in its block is its rank in its partition, by count, times the
             # number of partitions, plus the partition: frequent words get small numbers.
-            order = np.lexsort((hashes, -np.bincount(tokens, minlength=len(hashes)), home))
+            order = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
+            order = order[_stable(home[order], width)]
             cuts = np.searchsorted(home[order], np.arange(width + 1))
             place = np.empty(len(order), np.int64)
             place[order] = (np.arange(len(order)) - cuts[home[order]]) * width + home[order]
@@ -195,7 +202,7 @@ def _count_words(width: int):
         hashes = np.concatenate([a[0].astype(np.uint64) for a in asked])
         distinct, inverse = np.unique(hashes, return_inverse=True)
         count = np.bincount(inverse, np.concatenate([a[1] for a in asked]), len(distinct)).astype(np.int64)
-        order = np.lexsort((distinct, -count))
+        order = np.argsort(-count, kind="stable")
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order)) * width + p
         number[count == 0] = UNKNOWN
@@ -210,7 +217,7 @@ def _count_words(width: int):
         out.append((TOTALS, p, -1, None, None, [float(count.sum()), float((count > 0).sum()), *map(float, n_r)]))
         return pd.DataFrame(out, columns=_COLUMNS)
 
-    return run
+    return releasing(run)
 
 
 @dataclass
@@ -259,15 +266,17 @@ class Block:
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.first = np.zeros(len(self.stream), bool)
         self.first[np.cumsum(self.sizes) - self.sizes] = True
-        self.trained = self.held[self.doc] == 0
         self.c1 = count[self.stream]
         self.order = 1
         # The last entry is the start of a text, a history of its own.
         self.gram, self.count, self.key = self.word, np.append(count, texts), np.append(number, BOS)
         self.p, self.bottom = uni.p(self.c1), np.ones(len(self.stream))
 
-    def ask(self, partitions: int, hot_count: float) -> None:
-        """The distinct n-grams of the next level, in the order in which partitions get them."""
+    def ask(self, partitions: int, hot_count: float, sending: bool = True) -> None:
+        """The distinct n-grams of the next level, in the order in which partitions get them.
+
+        What only messages hold is left out where answers are there already.
+        """
         self.order += 1
         before = np.concatenate([[-1], self.gram[:-1]])
         before[self.first] = len(self.count) - 1 if self.order == 2 else -1
@@ -275,22 +284,28 @@ class Block:
         seen[seen] = self.count[before[seen]] > 0
         self.at = np.flatnonzero(seen)
         pairs, inverse = np.unique(before[self.at] * len(self.number) + self.word[self.at], return_inverse=True)
-        h, w = pairs // len(self.number), pairs % len(self.number)
-        # The suffix of an n-gram is the lower n-gram that ends at the same token.
-        own = self.gram[self.at]
-        low = np.where(own >= 0, self.count[own], 0) if self.order > 2 else self.c1[self.at]
-        suffix, trained = np.zeros(len(pairs), np.int64), np.bincount(inverse, self.trained[self.at], len(pairs)).astype(np.int64)
-        suffix[inverse] = low
+        h, w = np.divmod(pairs, len(self.number))
         key, word, total = self.key[h], self.number[w], self.count[h]
         hot = total > hot_count
         home = np.where(hot, mixed(mixed(key, 1), word), mixed(key, 1)) % np.uint64(partitions)
-        turn = np.lexsort((word, key, home))
+        # By partition, then by history's key: histories are sorted, and their n-grams follow them.
+        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        by_key = np.argsort(key[begin])
+        runs = np.diff(np.append(begin, len(h)))[by_key]
+        turn = np.repeat(begin[by_key] - (np.cumsum(runs) - runs), runs) + np.arange(len(h))
+        turn = turn[_stable(home[turn], partitions)]
         place = np.empty(len(turn), np.int64)
         place[turn] = np.arange(len(turn))
         self.slot = place[inverse]  # of every asked token
         self.home, self.history, self.follower, self.hot = home[turn].astype(np.int64), key[turn], word[turn], hot[turn]
-        self.total, self.suffix, self.new = total[turn], suffix[turn], trained[turn]
-        if self.order == 2:
+        self.total = total[turn]
+        if sending:
+            # The suffix of an n-gram is the lower n-gram that ends at the same token.
+            own = self.gram[self.at]
+            self.suffix = np.zeros(len(pairs), np.int64)
+            self.suffix[self.slot] = np.where(own >= 0, self.count[own], 0) if self.order > 2 else self.c1[self.at]
+            self.new = np.bincount(self.slot[self.held[self.doc[self.at]] == 0], minlength=len(pairs))
+        elif self.order == 2:
             self.next_key = (self.history + 2 << 32) + self.follower + 2
         else:
             self.next_key = mixed(self.history, self.follower).view(np.int64)
@@ -308,7 +323,8 @@ class Block:
         """Take the partitions' answers and evaluate the tokens at this level."""
         n, d = len(self.home), level.d
         count = np.zeros(n, np.int64)
-        change = np.flatnonzero(np.r_[True, (self.history[1:] != self.history[:-1]) | (self.home[1:] != self.home[:-1])]) if n else np.zeros(0, np.int64)
+        starts = np.r_[True, (self.history[1:] != self.history[:-1]) | (self.home[1:] != self.home[:-1])][:n]
+        change, which = np.flatnonzero(starts), np.cumsum(starts) - 1
         least, left, lower = np.zeros(len(change), np.int64), np.zeros(len(change)), np.zeros(len(change))
         for home, data in zip(answers["key"], answers["data"], strict=True):
             counts, low, needed, rare, mass = unpack(data)
@@ -324,7 +340,6 @@ class Block:
             own = level.hot.get(int(names[k]))
             if own:
                 least[k], left[k], lower[k] = own[0], taken(d, np.array([own[1:-1]]))[0], own[-1]
-        which = np.searchsorted(change, np.arange(n), side="right") - 1
         # A history whose followers are all frequent has no left-over mass; one more count is
         # added to its total for the words not seen, and the distribution still sums to one.
         none = least > len(d)
@@ -344,7 +359,7 @@ class Block:
 def _opened(tokens: pd.DataFrame, answers: pd.DataFrame, uni: Unigrams, width: int, texts: int, levels: list[Level], partitions: int, hot_count: float) -> Block:
     block = Block(tokens, answers[answers["kind"] == ANSWER + 1], uni, width, texts)
     for k, level in enumerate(levels, 2):
-        block.ask(partitions, hot_count)
+        block.ask(partitions, hot_count, False)
         block.learn(answers[answers["kind"] == ANSWER + k], level)
     return block
 
@@ -359,7 +374,7 @@ def _asking(*context):
         at = int(tokens["block"].iloc[0])
         return pd.DataFrame([(ASK, home, at, data, None, None) for home, data in block.messages()], columns=_COLUMNS)
 
-    return run
+    return releasing(run)
 
 
 def _merging(order: int, lower_mass):
@@ -371,17 +386,18 @@ def _merging(order: int, lower_mass):
         history = np.concatenate([np.repeat(np.cumsum(g[0]), g[1]) for g in got])
         word, trained, suffix = (np.concatenate([g[k] for g in got]) for k in (3, 4, 5))
         hot = np.concatenate([np.repeat(g[2], g[1]) for g in got])
-        turn = np.lexsort((word, history))
-        edge = np.r_[True, (history[turn][1:] != history[turn][:-1]) | (word[turn][1:] != word[turn][:-1])]
+        gram = mixed(history, word)
+        turn = np.argsort(gram)
+        edge = np.r_[True, gram[turn][1:] != gram[turn][:-1]]
         index = np.empty(len(turn), np.int64)
         index[turn] = np.cumsum(edge) - 1
         lead = turn[edge]
         count = np.bincount(index, trained, len(lead)).astype(np.int64)
         mass = np.where(count > 0, lower_mass(suffix[lead]), 0.0)
-        names, start, where = np.unique(history[lead], return_index=True, return_inverse=True)
+        names, where = np.unique(history[lead], return_inverse=True)
         rare = np.stack([np.bincount(where[count == r], minlength=len(names)) for r in range(1, GT_MOST + 1)], axis=1)
         sums = np.bincount(where, mass, len(names))
-        least = np.minimum.reduceat(np.where(count > 0, np.minimum(count, GT_MOST + 1), GT_MOST + 1), start)
+        least = np.append(rare > 0, np.ones((len(names), 1), bool), axis=1).argmax(axis=1) + 1
         out, at = [], 0
         for block, g in zip(rows["block"], got, strict=True):
             own = index[at : at + len(g[3])]
@@ -395,7 +411,7 @@ def _merging(order: int, lower_mass):
             out.append((HOT, int(names[h]), -1, None, None, [float(least[h]), *map(float, rare[h]), float(sums[h])]))
         return pd.DataFrame(out, columns=_COLUMNS)
 
-    return run
+    return releasing(run)
 
 
 def _finishing(tokens_in_all: int, *context):
@@ -407,7 +423,7 @@ def _finishing(tokens_in_all: int, *context):
         known = total(block.c1 > 0).astype(np.int64)
         return pd.DataFrame({"doc_id": ids, "held_out": block.held == 1, "n_tokens": block.sizes, "n_known": known, "train_tokens": tokens_in_all, "base_score": total(block.uni.base(block.c1)), "score": total(np.log10(block.p))})
 
-    return run
+    return releasing(run)
 
 
 def _release(df: DataFrame) -> None:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,45 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) ->
     if held:
         yield _joined(held)
     held.clear()
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle workers stay, and others share the machine."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+_CALLS = [0]
+
+
+def releasing(run: Callable) -> Callable:
+    """A function of one group or two that now and then releases memory when it is done."""
+
+    def done() -> None:
+        _CALLS[0] += 1
+        if _CALLS[0] % 8 == 0:
+            release()
+
+    if run.__code__.co_argcount == 1:
+
+        def one(group):
+            try:
+                return run(group)
+            finally:
+                done()
+
+        return one
+
+    def two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            done()
+
+    return two
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
