@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, shuffle_width, small_batches
-from docloom.llm.tokens import gathered, word_codes
+from docloom.llm.tokens import gathered, slices, word_codes
 
 DIMS, BITS = 4, 12
 #: Entries that one generation of a worker's memory holds.
@@ -215,7 +215,7 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     sequence, filled = None, 0
     held: list[tuple] = []
     done: list[tuple] = []
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
         for doc, raw, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             sequence = part << 33 if sequence is None else sequence
             total, at = len(raw) // 4, 0

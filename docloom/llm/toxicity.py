@@ -212,7 +212,7 @@ def train_on(rows: pa.Table, most_terms: int = MOST_TERMS) -> Machine:
         if total > most_terms and lists:
             break
         seen.add(ident)
-        lists.append(np.frombuffer(raw, "<u4").astype(np.int32))
+        lists.append(np.frombuffer(raw, "<i4"))
         labels.append(int(label == 1))
     single = one_of_copies(lists, labels)
     lists, labels = [lists[k] for k in single], [labels[k] for k in single]
