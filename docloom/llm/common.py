@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.tokens import release
+
 #: The white space of the contracts, [\x20\x09-\x0D], as a Java/RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -88,7 +90,9 @@ def in_one_task(rows: DataFrame, make: Callable[[pa.Table], bytes], *order: Colu
         held = list(batches)
         if held:
             made = make(pa.Table.from_batches(held).select(kinds))
+            held.clear()
             yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
+        release()
 
     one = rows.repartition(1)
     found = (one.sortWithinPartitions(*order) if order else one).mapInArrow(run, "made binary").first()

@@ -42,8 +42,8 @@ DILUTE = 40
 STEMS = (4, 5)
 #: Fixed value: what is cut from both ends of a word.
 EDGE = r"^[^\pL\pN]+|[^\pL\pN]+$"
-#: Text that is scored at once.
-SLICE_BYTES = 2 << 20
+#: Text that is scored at once, and terms that training turns at once; neither changes a result.
+SLICE_BYTES, STRETCH = 1 << 20, 1 << 18
 
 
 def word_terms(words: pa.Array) -> np.ndarray:
@@ -143,11 +143,18 @@ def evidence(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray) -> tuple[
     """Likelihood ratio of each bucket's presence between the classes, and its documents."""
     n, a = len(labels), int(labels.sum())
     b = n - a
-    yes = np.bincount(bucket[labels[text] == 1], minlength=1 << BITS).astype(float)
-    no = np.bincount(bucket[labels[text] == 0], minlength=1 << BITS).astype(float)
+    yes, df = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    mark = labels.astype(bool)
+    for lo in range(0, len(text), STRETCH):
+        own = bucket[lo : lo + STRETCH]
+        df += np.bincount(own, minlength=1 << BITS)
+        yes += np.bincount(own[mark[text[lo : lo + STRETCH]]], minlength=1 << BITS)
+    place = np.flatnonzero(df)
+    yes, no = yes[place], (df - yes)[place]
     p, q, both = (yes + 0.5) / (a + 1), (no + 0.5) / (b + 1), (yes + no + 1) / (n + 2)
-    gain = yes * np.log(p / both) + (a - yes) * np.log((1 - p) / (1 - both)) + no * np.log(q / both) + (b - no) * np.log((1 - q) / (1 - both))
-    return np.maximum(gain, 0), yes + no
+    gain = np.zeros(1 << BITS)
+    gain[place] = yes * np.log(p / both) + (a - yes) * np.log((1 - p) / (1 - both)) + no * np.log(q / both) + (b - no) * np.log((1 - q) / (1 - both))
+    return np.maximum(gain, 0), df
 
 
 def train(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray, factors: int = FACTORS, visits: int = 90_000, batch: int = 256, rate: float = 0.1, ridge: float = 2e-4, weight: float = 3.0) -> Machine:
@@ -164,7 +171,9 @@ def train(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray, factors: int
         return Machine(np.zeros(0, np.int64), base, none, np.zeros((0, factors), np.float32), none, none)
     gain, df = evidence(text, bucket, labels)
     place = np.flatnonzero(df)
-    column = np.searchsorted(place, bucket).astype(np.int32)
+    column = np.empty(len(bucket), np.int32)
+    for lo in range(0, len(bucket), STRETCH):
+        column[lo : lo + STRETCH] = np.searchsorted(place, bucket[lo : lo + STRETCH])
     gain, df = gain[place], df[place]
     sure = (gain / (gain + 8)) ** 2
     own, pair, common = (x.astype(np.float32) for x in (np.sqrt(gain) / 4 * sure, np.minimum(1, sure), 0.3 * df / (df + 20)))
@@ -205,15 +214,16 @@ def train(text: np.ndarray, bucket: np.ndarray, labels: np.ndarray, factors: int
 def train_on(rows: pa.Table, most_terms: int = MOST_TERMS) -> Machine:
     """Fit on rows of (_id, label, terms): the first row of each id, up to ``most_terms`` terms in all."""
     lists, labels, seen, total = [], [], set(), 0
-    for ident, label, raw in zip(*(rows.column(c).to_pylist() for c in ("_id", "label", "terms")), strict=True):
-        if ident in seen:
+    for ident, label, raw in zip(*(rows.column(c) for c in ("_id", "label", "terms")), strict=True):
+        if ident.as_py() in seen:
             continue
-        total += len(raw) // 4
+        own = np.frombuffer(raw.as_buffer(), "<i4")  # a view of the table
+        total += len(own)
         if total > most_terms and lists:
             break
-        seen.add(ident)
-        lists.append(np.frombuffer(raw, "<i4"))
-        labels.append(int(label == 1))
+        seen.add(ident.as_py())
+        lists.append(own)
+        labels.append(int(label.as_py() == 1))
     single = one_of_copies(lists, labels)
     lists, labels = [lists[k] for k in single], [labels[k] for k in single]
     text = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
