@@ -131,6 +131,34 @@ def test_simhash(odd, docs, spark):
     assert simhash.one_of_each(odd).columns == odd.columns
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    from docloom.llm.common import Scratch
+
+    saved = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, **more: saved.append(name) or save(self, df, name, **more))
+
+    def roots(edges):
+        saved.clear()
+        found = simhash.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()
+        assert len(found) == len({r.node for r in found})
+        return {r.node: r.root for r in found if r.node != r.root}
+
+    assert roots([(7, 1), (1, 8), (8, 1), (9, 1), (5, 5), (20, 3)]) == {7: 1, 8: 1, 9: 1, 20: 3}
+    assert saved == ["edges_0"]  # a round would change nothing
+    assert roots([]) == {} and saved == ["edges_0"]
+    for edges in ([(2, 1), (3, 2)], [(3, 1), (3, 2)], [(k, k + 1) for k in range(-20, 20)]):  # a chain, two edges down, a long chain
+        least = min(min(e) for e in edges)
+        assert roots(edges) == {v: least for e in edges for v in e if v != least}
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (45, 2))]
+    group = {v: v for e in edges for v in e}
+    for _ in group:
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    assert roots(edges) == {v: r for v, r in group.items() if v != r}
+
+
 def test_simhash_links_through_hot_lists(spark):
     from docloom.llm.common import Scratch
 
