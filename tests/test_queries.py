@@ -63,3 +63,9 @@ def test_aggregations_combine_before_the_shuffle(spark, sf):
     plan = _plan(QUERIES["lww_register"](spark, sf))
     assert "partial_max_by" in plan
     assert table(spark, sf, "events").count() == 1000
+
+
+def test_distinct_counts_keep_one_sketch_a_type(spark, sf):
+    plan = _plan(QUERIES["agg_distinct"](spark, sf))
+    sketches = [line for line in plan.split("\n") if "approx_count_distinct" in line]
+    assert sketches and all("user_id" not in line.split("keys=[")[1].split("]")[0] for line in sketches)
