@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import json_utils, pointer
-from docloom.operators import diff, patch, types
+from docloom.operators import crdt, diff, patch, types
 from docloom.plans import jsonpath
 from docloom.queries.registry import query, table
 from docloom.sources import codecs
@@ -14,7 +14,7 @@ from docloom.sources import codecs
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order with its lines as one JSON document."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("flag")))).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("flag")))).alias("lines"))
     orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey")
     doc = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("priority")).alias("cust"), F.col("o_orderstatus").alias("status"), "lines"))
     return orders.select(F.col("o_orderkey").alias("doc_id"), doc.alias("doc"))
@@ -147,24 +147,30 @@ def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, 0 AS wrong, 0 AS broken FROM (SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))) WHERE nxt IS NOT NULL")
 def patch_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches between the documents of successive orders rebuild the later one."""
-    docs = order_docs(spark, sf_dir)
-    keys = docs.select("doc_id").repartitionByRange("doc_id")
-    after = _successor(keys)
-    pairs = docs.join(after, "doc_id").join(docs.select(F.col("doc_id").alias("next_id"), F.col("doc").alias("dst")), "next_id")
-    done = pairs.select("dst", patch.apply_patch_text(F.col("doc"), patch.diff_text(F.col("doc"), F.col("dst"))).alias("r"))
+    done = _successive(spark, sf_dir).select("dst", patch.rebuild_text(F.col("doc"), F.col("dst")).alias("r"))
     return done.agg(F.count("*").alias("n"), F.coalesce(F.sum((~json_utils.deep_equal_column(F.col("r.doc"), F.col("dst"))).cast("int")), F.lit(0)).alias("wrong"), F.count("r.error").alias("broken"))
 
 
-def _successor(keys: DataFrame) -> DataFrame:
-    """Each key and the next one: numbers by blocks of keys, so that no task orders them all."""
-    from pyspark.sql import Window
+#: Keys of a block of orders, and blocks over the whole range of keys, at most, by which a block of sparse keys is wider.
+BLOCK, BLOCKS = 1_000, 100_000
 
-    size = 10_000
-    block = F.floor(F.col("doc_id") / size)
-    inside = keys.withColumn("block", block).withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("block").orderBy("doc_id")))
-    firsts = inside.groupBy("block").agg(F.min("doc_id").alias("first"))
-    later = firsts.withColumn("follow", F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("block"))).select("block", "follow")
-    return inside.join(later, "block").select("doc_id", F.coalesce("next_id", "follow").alias("next_id")).filter("next_id is not null")
+
+def _successive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, dst): each order's document and the next one's.
+
+    Documents are made and shuffled once, by blocks of keys; a window in each block carries the
+    next document, and the first ones of all blocks, which are few, are ordered by one task. The
+    pairs then go over all shuffle partitions, since patches cost time and not bytes.
+    """
+    low, high = table(spark, sf_dir, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    size = max(BLOCK, -(-((high or 0) - (low or 0) + 1) // BLOCKS))
+    number = F.expr(f"(doc_id - {low or 0}L) div {size}L")
+    docs = order_docs(spark, sf_dir).withColumn("block", number).repartition("block")
+    inside = docs.withColumn("dst", F.lead("doc").over(Window.partitionBy("block").orderBy("doc_id")))
+    firsts = docs.groupBy("block").agg(F.min_by("doc", "doc_id").alias("first"))
+    later = firsts.select("block", F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("block")).alias("follow"))
+    pairs = inside.join(later, "block", "left").select("doc_id", "doc", F.coalesce("dst", "follow").alias("dst")).filter("dst is not null")
+    return crdt.spread(pairs, "doc_id").select("doc", "dst")
 
 
 @query("""

@@ -69,3 +69,28 @@ def test_distinct_counts_keep_one_sketch_a_type(spark, sf):
     plan = _plan(QUERIES["agg_distinct"](spark, sf))
     sketches = [line for line in plan.split("\n") if "approx_count_distinct" in line]
     assert sketches and all("user_id" not in line.split("keys=[")[1].split("]")[0] for line in sketches)
+
+
+def test_patch_diff_pairs_neighbours_over_all_partitions(spark, tmp_path):
+    from docloom.queries.documents import _successive
+
+    keys = [7, 8, 999, 1007, 5_000_000_000, 5_000_000_001, 9_000_000_000_000, -4]
+    rows = ", ".join(f"({k}L, {k}L, 'O', '5-LOW')" for k in keys)
+    spark.sql(f"SELECT * FROM VALUES {rows} t(o_orderkey, o_custkey, o_orderstatus, o_orderpriority)").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = ", ".join(f"({k}L, {n}, {n}D, 'A')" for k in keys if k != 999 for n in (2, 1))
+    spark.sql(f"SELECT * FROM VALUES {lines} t(l_orderkey, l_linenumber, l_quantity, l_returnflag)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = _successive(spark, str(tmp_path))
+    key = lambda doc: int(doc.split(":")[1].split(",")[0])
+    own = sorted(k for k in keys if k != 999)
+    assert sorted((key(r["doc"]), key(r["dst"])) for r in pairs.collect()) == list(zip(own, own[1:], strict=False))
+    # patches cost time and not bytes: Spark may not join small partitions under them
+    assert _plan(QUERIES["patch_diff"](spark, str(tmp_path))).split("ArrowEvalPython")[-1].split("Exchange", 1)[1].split("[plan_id")[0].endswith("REPARTITION_BY_NUM, ")
+
+
+def test_runs_of_text_edits_match_single_ones():
+    from docloom.operators import patch
+
+    ops = [{"op": "str_ins", "path": "/a/0", "pos": 1, "str": "xy"}, {"op": "str_del", "path": "/a/0", "pos": 0, "len": 2}, {"op": "replace", "path": "/a/0", "value": "new"}, {"op": "str_del", "path": "/a/0", "pos": 1, "str": "e"}]
+    assert patch.apply_ops({"a": ["pq"]}, ops) == ({"a": ["nw"]}, ["pq", "pxyq", "yq", "new"])
+    with pytest.raises(patch.PatchError, match="INVALID_INDEX"):
+        patch.apply_ops({"a": ["pq"]}, [*ops[:1], {"op": "str_del", "path": "/a/0", "pos": 3, "len": 2}])
