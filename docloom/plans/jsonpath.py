@@ -12,7 +12,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -338,14 +338,42 @@ def select(selector, node: Node, root) -> Iterator[Node]:
 
 
 def descend(node: Node) -> Iterator[Node]:
-    yield node
-    for child in children(node):
-        yield from descend(child)
+    """The node and all below it, each before its children; no generator a level."""
+    stack = [node]
+    while stack:
+        own = stack.pop()
+        yield own
+        if isinstance(own.value, (dict, list)):
+            stack += [*children(own)][::-1]
+
+
+def _named_below(name: str, node: Node) -> list[Node]:
+    """The values of a name in the node and all below it, in the order of ``descend``; a path is made for each found one."""
+    found: list[Node] = []
+
+    def visit(value, path: tuple) -> None:
+        if isinstance(value, dict):
+            if name in value:
+                found.append(Node(value[name], (*path, name)))
+            for k, v in value.items():
+                if isinstance(v, (dict, list)):
+                    visit(v, (*path, k))
+        else:
+            for k, v in enumerate(value):
+                if isinstance(v, (dict, list)):
+                    visit(v, (*path, k))
+
+    if isinstance(node.value, (dict, list)):
+        visit(node.value, node.path)
+    return found
 
 
 def evaluate(path: Path, root, current=_MISSING) -> list[Node]:
     nodes = [Node(root if path.absolute or current is _MISSING else current)]
     for segment in path.segments:
+        if segment.descendant and len(segment.selectors) == 1 and isinstance(segment.selectors[0], Name):
+            nodes = [f for n in nodes for f in _named_below(segment.selectors[0].name, n)]
+            continue
         if segment.descendant:
             nodes = [d for n in nodes for d in descend(n)]
         nodes = [f for n in nodes for s in segment.selectors for f in select(s, n, root)]
@@ -424,7 +452,12 @@ def holds(test, current, root) -> bool:
 
 
 def normalized(path: tuple) -> str:
-    return "$" + "".join(f"[{s}]" if isinstance(s, int) else "[" + to_text(Name(s)) + "]" for s in path)
+    return "$" + "".join(f"[{s}]" if isinstance(s, int) else _bracketed(s) for s in path)
+
+
+@lru_cache(4096)
+def _bracketed(name: str) -> str:
+    return "[" + to_text(Name(name)) + "]"
 
 
 def pointer(path: tuple) -> str:
@@ -433,7 +466,7 @@ def pointer(path: tuple) -> str:
 
 def path_nodes(df: DataFrame, doc: str, path: str, keys: list[str]) -> DataFrame:
     """Rows (keys..., ord, path, pointer, value) of the path's nodes in each JSON text; bad text has none."""
-    tree = parse(path)
+    tree, dump = parse(path), json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 
     @F.pandas_udf("array<struct<path:string,pointer:string,value:string>>")
     def run(texts: pd.Series) -> pd.Series:
@@ -442,7 +475,7 @@ def path_nodes(df: DataFrame, doc: str, path: str, keys: list[str]) -> DataFrame
                 found = evaluate(tree, json.loads(text))
             except (TypeError, ValueError):
                 return []
-            return [{"path": normalized(n.path), "pointer": pointer(n.path), "value": json.dumps(n.value, separators=(",", ":"), ensure_ascii=False)} for n in found]
+            return [{"path": normalized(n.path), "pointer": pointer(n.path), "value": dump(n.value)} for n in found]
 
         return texts.map(one)
 
@@ -453,6 +486,11 @@ def path_nodes(df: DataFrame, doc: str, path: str, keys: list[str]) -> DataFrame
 # -- lowering to Columns
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A Column of a value that is computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _variant_path(segments: tuple) -> tuple[str, tuple]:
     """The longest prefix of plain names and indexes as one VARIANT path, and the rest."""
     out = "$"
@@ -481,16 +519,26 @@ class Lowering:
         at_root = path.absolute and prefix == "$"
         start = start if prefix == "$" else F.try_variant_get(start, prefix, "variant")
         if rest and not any(s.descendant for s in rest[:1]):  # the first step needs no list of nodes
-            nodes = F.when(start.isNotNull(), self.step(rest[0], at_root)(start)).otherwise(F.array().cast("array<variant>"))
+            nodes = self.step(rest[0], at_root)(start)
+            if any(isinstance(s, Filter) for s in rest[0].selectors):
+                nodes = F.when(start.isNotNull(), nodes).otherwise(F.array().cast("array<variant>"))
             rest = rest[1:]
         else:
             nodes = F.filter(F.array(start), lambda x: x.isNotNull())
-        for segment in rest:
-            if segment.descendant:
+        while rest:
+            prefix, after = _variant_path(rest)
+            if len(after) < len(rest):  # plain names and indexes lead each node to one at most
+                nodes = F.filter(F.transform(nodes, self.below(prefix)), lambda x: x.isNotNull())
+                rest = after
+                continue
+            if rest[0].descendant:
                 raise PathError("descendants are evaluated by path_nodes")
-            nodes = F.flatten(F.transform(nodes, self.step(segment, False)))
+            nodes, rest = F.flatten(F.transform(nodes, self.step(rest[0], False))), rest[1:]
         return nodes
 
+    def below(self, path: str) -> Callable[[Column], Column]:
+        return lambda n: F.try_variant_get(n, path, "variant")
+
     def step(self, segment: Segment, at_root: bool) -> Callable[[Column], Column]:
         """A node's results of all selectors, in their order."""
         if len(segment.selectors) == 1:
@@ -504,13 +552,13 @@ class Lowering:
             quoted = selector.name.replace("\\", "\\\\").replace("'", "\\'")
             return F.filter(F.array(F.try_variant_get(n, f"$['{quoted}']", "variant")), lambda x: x.isNotNull())
         if isinstance(selector, Index):
-            at = F.lit(selector.index) if selector.index >= 0 else F.size(items) + selector.index
-            return F.filter(F.array(F.get(items, at)), lambda x: x.isNotNull())
+            at = F.get(items, F.lit(selector.index)) if selector.index >= 0 else F.try_element_at(items, F.lit(selector.index))
+            return F.filter(F.array(at), lambda x: x.isNotNull())
         values = F.coalesce(F.map_values(members(Val(n, "json")).col), none)
         if isinstance(selector, Wildcard):
-            return F.concat(items, values)
+            return F.coalesce(elements(Val(n, "json")).col, values)
         if isinstance(selector, Slice):
-            return self.slice(selector, items)
+            return let(items, lambda own: self.slice(selector, own))
         if at_root:  # at the root a filter tests an object itself
             itself = F.filter(F.array(n), lambda x: is_tag(x, "OBJECT") & self.test(selector.test, x))
             return F.concat(itself, F.filter(items, lambda x: self.test(selector.test, x)))
@@ -520,6 +568,10 @@ class Lowering:
         step = 1 if own.step is None else own.step
         if step == 0:
             return F.array().cast("array<variant>")
+        if step == 1 and (own.start or 0) >= 0 and own.end is not None and own.end >= 0:
+            return F.slice(items, (own.start or 0) + 1, max(own.end - (own.start or 0), 0))
+        if step == -1 and own.start is None and own.end is None:
+            return F.reverse(items)
         size = F.size(items)
 
         def bound(value: int | None, default: Column, low: Column, high: Column) -> Column:
@@ -606,5 +658,4 @@ def path_value(doc: Column, path: str, kind: str = "string") -> Column:
     prefix, rest = _variant_path(parse(path).segments)
     if not rest:
         return F.try_variant_get(doc, prefix, kind)
-    found = path_values(doc, path)
-    return F.when(F.size(found) == 1, F.try_variant_get(F.get(found, F.lit(0)), "$", kind))
+    return let(path_values(doc, path), lambda found: F.when(F.size(found) == 1, F.try_variant_get(F.get(found, F.lit(0)), "$", kind)))

@@ -94,3 +94,37 @@ def test_runs_of_text_edits_match_single_ones():
     assert patch.apply_ops({"a": ["pq"]}, ops) == ({"a": ["nw"]}, ["pq", "pxyq", "yq", "new"])
     with pytest.raises(patch.PatchError, match="INVALID_INDEX"):
         patch.apply_ops({"a": ["pq"]}, [*ops[:1], {"op": "str_del", "path": "/a/0", "pos": 3, "len": 2}])
+
+
+def test_documents_stay_in_all_partitions(spark, sf):
+    """Patches and paths cost time and not bytes: Spark may not join small partitions under them."""
+    for name in ("patch_apply", "path_descendant", "path_wildcard_slice"):
+        assert "REPARTITION_BY_NUM" in _plan(QUERIES[name](spark, sf)), name
+
+
+def test_lowered_paths_read_their_array_once(spark):
+    from pyspark.sql import functions as F
+
+    from docloom.plans.jsonpath import path_value, path_values
+
+    v = F.parse_json("d")
+    docs = ['{"a":[{"q":{"r":1}},{"q":2},{"q":{"r":3}}]}', '{"a":[]}', '{"a":{"z":{"q":{"r":5}}}}', '{"a":7}', "{}"]
+    rows = spark.createDataFrame([(d,) for d in docs], "d string")
+    paths = {"$.a[-1].q.r": [["3"], [], [], [], []], "$.a[-4].q": [[], [], [], [], []], "$.a[*].q.r": [["1", "3"], [], ["5"], [], []], "$.a[0:2].q.r": [["1"], [], [], [], []], "$.a[2:1].q": [[], [], [], [], []], "$.a[::-1].q.r": [["3", "1"], [], [], [], []], "$.a[1:].q.r": [["3"], [], [], [], []]}
+    for path, want in paths.items():
+        got = rows.select(F.transform(path_values(v, path), lambda x: F.to_json(x)).alias("x"))
+        assert [r["x"] for r in got.collect()] == want, path
+        assert _plan(got).count("ArrayType(VariantType") <= 2, path  # the result's own cast may be the second
+    one = rows.select(path_value(v, "$.a[-1].q.r", "long").alias("x"))
+    assert [r["x"] for r in one.collect()] == [3, None, None, None, None] and _plan(one).count("ArrayType(VariantType") == 1
+
+
+def test_descendant_names_make_nodes_only_of_what_they_find(monkeypatch):
+    from docloom.plans import jsonpath
+
+    doc = {"q": {"q": [1, {"q": 2, "z": {"y": 3}}]}, "b": [{"c": 1, "q": None}]}
+    made = []
+    monkeypatch.setattr(jsonpath, "Node", lambda *a, plain=jsonpath.Node: made.append(a) or plain(*a))
+    found = jsonpath.evaluate(jsonpath.parse("$..q"), doc)
+    assert [jsonpath.pointer(n.path) for n in found] == ["/q", "/q/q", "/q/q/1/q", "/b/0/q"]
+    assert len(made) == len(found) + 1
