@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import copy
 import json
+import struct
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,18 +43,19 @@ def _id(pair) -> tuple[int, int]:
 def units(text: str) -> list[int]:
     """UTF-16 code units."""
     raw = text.encode("utf-16-le", "surrogatepass")
-    return [raw[k] | raw[k + 1] << 8 for k in range(0, len(raw), 2)]
+    return list(struct.unpack(f"<{len(raw) // 2}H", raw))
 
 
 def from_units(own: Iterable[int]) -> str:
-    return b"".join(u.to_bytes(2, "little") for u in own).decode("utf-16-le", "surrogatepass")
+    own = list(own)
+    return struct.pack(f"<{len(own)}H", *own).decode("utf-16-le", "surrogatepass")
 
 
 def span(op: dict) -> int:
     """Ticks that an operation takes."""
     name = op["op"]
     if name == "ins_str":
-        return len(units(op["value"]))
+        return len(op["value"].encode("utf-16-le", "surrogatepass")) // 2
     if name in ("ins_bin", "ins_arr"):
         return len(op["value"] if name == "ins_bin" else op["values"])
     return op.get("len", 1) if name == "nop" else 1
@@ -71,11 +72,16 @@ class Sequence:
     def insert(self, root: tuple[int, int], after: tuple[int, int], at: tuple[int, int], values: list) -> None:
         if after != root and after not in self.items:
             after = root
-        for k, value in enumerate(values):
-            own = (at[0] + k, at[1])
-            if own not in self.items:  # a repeated insert is no insert
-                self.items[own] = value
-                self.children.setdefault(after, []).append(own)
+        items, children, (time, sid) = self.items, self.children, at
+        for value in values:
+            own = (time, sid)
+            time += 1
+            if own not in items:  # a repeated insert is no insert
+                items[own] = value
+                if after in children:
+                    children[after].append(own)
+                else:
+                    children[after] = [own]
             after = own
 
     def delete(self, spans: Iterable) -> None:
@@ -84,14 +90,19 @@ class Sequence:
 
     def order(self, root: tuple[int, int]) -> list[tuple[int, int]]:
         out, stack = [], sorted(self.children.get(root, []))
+        find = self.children.get
         while stack:
             own = stack.pop()
             out.append(own)
-            stack += sorted(self.children.get(own, []))
+            while (below := find(own)) and len(below) == 1:  # typed text is one long chain
+                (own,) = below
+                out.append(own)
+            if below:
+                stack += sorted(below)
         return out
 
     def live(self, root: tuple[int, int]) -> list[tuple[int, int]]:
-        return [i for i in self.order(root) if i not in self.dead]
+        return [i for i in self.order(root) if i not in self.dead] if self.dead else self.order(root)
 
 
 class Model:
@@ -381,6 +392,43 @@ def spread(df: DataFrame, *doc: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *doc)
 
 
+def folded(df: DataFrame, doc: list[str], fold: Callable[[tuple, list[tuple]], list[tuple]], result: str) -> DataFrame:
+    """Rows ``fold(document, rows)`` of every document; the frame's first columns are the document's, rows are tuples of the others.
+
+    Documents follow one another in sorted partitions, in Arrow batches that hold many of them:
+    a frame for each small document would cost more than its fold.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = T.StructType([*(df.schema[c] for c in doc), *T.StructType.fromDDL(result).fields])
+    names, kinds, n = schema.names, [to_arrow_type(f.dataType) for f in schema.fields], len(doc)
+
+    def batch(out: list[tuple]):
+        columns = zip(*out, strict=True) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def run(batches):
+        key, own, held, out = None, None, [], []
+        for rows in batches:
+            for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                here = tuple("NaN" if v != v else v for v in row[:n])
+                if here != own and held:
+                    out += [(*key, *r) for r in fold(key, held)]
+                    held = []
+                    if len(out) >= 256:
+                        yield batch(out)
+                        out = []
+                key, own = row[:n], here
+                held.append(row[n:])
+        if held:
+            out += [(*key, *r) for r in fold(key, held)]
+        yield batch(out)
+
+    return spread(df, *doc).sortWithinPartitions(*doc).mapInArrow(run, schema)
+
+
 def lww(ops: DataFrame, keys: list[str], value: str, time: str = "time", sid: str = "sid") -> DataFrame:
     """Winner of every key: the value of the newest id, with that id."""
     newest = F.struct(F.col(time).alias("time"), F.col(sid).alias("sid"))
@@ -436,34 +484,33 @@ def rga_text(ops: DataFrame, keys: list[str]) -> DataFrame:
     ``deleted`` units from (time, sid) on. One sequence is one group; large documents hold
     many, and hot ones are folded from their compacted log.
     """
-    kinds = ", ".join(f"{k} {ops.schema[k].dataType.simpleString()}" for k in keys)
 
-    def fold(names: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(names: tuple, rows: list[tuple]) -> list[tuple]:
         own = Sequence()
-        rows = rows.sort_values(["time", "sid"])
-        for r in rows[rows["text"].notna()].itertuples():
-            after = (-1, -1) if pd.isna(r.after_time) else (int(r.after_time), int(r.after_sid))
-            own.insert((-1, -1), after, (int(r.time), int(r.sid)), units(r.text))
-        own.delete((int(r.sid), int(r.time), int(r.deleted)) for r in rows[rows["text"].isna()].itertuples())
-        return pd.DataFrame([(*names, from_units(own.items[i] for i in own.live((-1, -1))))], columns=[*keys, "view"])
+        rows.sort(key=lambda r: r[:2])
+        for time, sid, after_time, after_sid, text, _ in rows:
+            if text is not None:
+                after = (-1, -1) if after_time is None else (int(after_time), int(after_sid))
+                own.insert((-1, -1), after, (int(time), int(sid)), units(text))
+        own.delete((int(sid), int(time), int(deleted)) for time, sid, _, _, text, deleted in rows if text is None)
+        return [(from_units(own.items[i] for i in own.live((-1, -1))),)]
 
-    return spread(ops, *keys).groupBy(*keys).applyInPandas(fold, f"{kinds}, view string")
+    return folded(ops.select(*keys, "time", "sid", "after_time", "after_sid", "text", "deleted"), keys, fold, "view string")
 
 
 def replay(patches: DataFrame, doc: str, patch: str, upto: tuple[int, int] | None = None, inclusive: bool = True) -> DataFrame:
     """View of each document from its patches (JSON text, any order), up to an id (time, session) if given."""
-    kind = patches.schema[doc].dataType.simpleString()
 
-    def fold(names: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(names: tuple, rows: list[tuple]) -> list[tuple]:
         model = Model()
-        for p in sorted((json.loads(t) for t in rows[patch]), key=lambda p: (p["id"][1], p["id"][0])):
+        for p in sorted((json.loads(t) for (t,) in rows), key=lambda p: (p["id"][1], p["id"][0])):
             at = (p["id"][1], p["id"][0])
             if upto is None or at < upto or inclusive and at == upto:
                 model.apply_patch(p)
         view = model.view()
-        return pd.DataFrame([(names[0], None if view is UNDEFINED else json.dumps(view, separators=(",", ":"), ensure_ascii=False))], columns=[doc, "view"])
+        return [(None if view is UNDEFINED else json.dumps(view, separators=(",", ":"), ensure_ascii=False),)]
 
-    return spread(patches.select(doc, patch), doc).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, view string")
+    return folded(patches.select(doc, patch), [doc], fold, "view string")
 
 
 def counter(ops: DataFrame, doc: str, sid: str, value: str) -> DataFrame:
