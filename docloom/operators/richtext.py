@@ -11,12 +11,11 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.crdt import UNDEFINED, Model, from_units
-from docloom.operators.edit import EditError, Editor, history, pair, spread
+from docloom.operators.crdt import UNDEFINED, Model, folded, from_units
+from docloom.operators.edit import EditError, Editor, history, pair
 
 # How slices stack, as the header's bits 2 to 4; bits 0 and 1 are the anchors.
 STACKING = {"marker": 0, "many": 1, "one": 2, "erase": 3, "cursor": 4}
@@ -151,21 +150,18 @@ ROW = "text string, slice_time long, slice_sid long, stacking string, type strin
 
 def slice_rows(patches: DataFrame, doc: str, patch: str) -> DataFrame:
     """Slices of each document with their positions and text; a document without any has one row of NULLs."""
-    kind = patches.schema[doc].dataType.simpleString()
-    columns = [doc, "text", "slice_time", "slice_sid", "stacking", "type", "start", "stop", "covered", "data"]
 
-    def fold(names: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rich = RichText(Editor(history(json.loads(p) for p in rows[patch].dropna()), 0))
+    def fold(names: tuple, rows: list[tuple]) -> list[tuple]:
+        rich = RichText(Editor(history(json.loads(p) for (p,) in rows if p is not None), 0))
         where, live, items = rich.positions(), rich.live(), rich.editor.model.seq[rich.node].items
         text, out = rich.text(), []
         for s in rich:
             a, b = rich.view_pos(s["range"].start, where), rich.view_pos(s["range"].end, where)
             covered = from_units(items[i] for i in live[a:b])
-            out.append((names[0], text, *s["id"], s["stacking"], json.dumps(s["type"]), a, max(a, b), covered, None if s["data"] is None else json.dumps(s["data"])))
-        frame = pd.DataFrame(out or [(names[0], text) + (None,) * 8], columns=columns)
-        return frame.astype({c: "Int64" for c in ("slice_time", "slice_sid", "start", "stop")})
+            out.append((text, *s["id"], s["stacking"], json.dumps(s["type"]), a, max(a, b), covered, None if s["data"] is None else json.dumps(s["data"])))
+        return out or [(text,) + (None,) * 8]
 
-    return spread(patches.select(doc, patch), doc).groupBy(doc).applyInPandas(fold, f"{doc} {kind}, {ROW}")
+    return folded(patches.select(doc, patch), [doc], fold, ROW)
 
 
 def effective(slices: DataFrame, doc: str) -> DataFrame:
