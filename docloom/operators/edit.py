@@ -11,10 +11,11 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docloom.functions.json_utils import base36
 from docloom.operators import patch as json_patch
-from docloom.operators.crdt import ORIGIN, UNDEFINED, Builder, Model, Sequence, from_units, span, spread, units
+from docloom.operators.crdt import ORIGIN, UNDEFINED, Builder, Model, Sequence, folded, from_units, span, spread, units
 from docloom.operators.diff import script
 
 SEQUENCES = ("str", "bin", "arr")
@@ -559,12 +560,12 @@ def apply_edits(patches: DataFrame, edits: DataFrame, doc: str, patch: str, orde
     the document as it was before it and is counted in ``failed``.
     """
 
-    def fold(names: tuple, history_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        columns = [doc, "patch", "view", "failed"]
-        if rows.empty:
-            return pd.DataFrame([], columns=columns)
-        editor, failed = Editor(history(json.loads(p) for p in history_rows[patch].dropna()), sid), 0
-        for text in rows.sort_values(order, kind="stable")[edit]:
+    def fold(names: tuple, rows: list[tuple]) -> list[tuple]:
+        own = [r for r in rows if r[0]]
+        if not own:
+            return []
+        editor, failed = Editor(history(json.loads(p) for done, _, p in rows if not done and p is not None), sid), 0
+        for _, _, text in sorted(own, key=lambda r: (r[1] is None, r[1] if r[1] is not None else 0)):  # NULLs last
             # edits check before they write, but a list of patch operations may stop halfway
             try:
                 editor.run(json.loads(text))
@@ -572,9 +573,11 @@ def apply_edits(patches: DataFrame, edits: DataFrame, doc: str, patch: str, orde
                 failed += 1
                 editor.apply()
         made = editor.flush()
-        return pd.DataFrame([(names[0], _dump(made), _dump(editor.model.view()), failed)], columns=columns)
+        return [(_dump(made), _dump(editor.model.view()), failed)]
 
-    return _folded(patches.select(doc, patch), edits.select(doc, order, edit), doc, fold, "patch string, view string, failed long")
+    before = patches.select(doc, F.lit(False).alias("_edit"), F.lit(None).cast(edits.schema[order].dataType).alias("_order"), F.col(patch).alias("_text"))
+    rows = before.unionByName(edits.select(doc, F.lit(True).alias("_edit"), F.col(order).alias("_order"), F.col(edit).alias("_text")))
+    return folded(rows, [doc], fold, "patch string, view string, failed long")
 
 
 def diff_apply(patches: DataFrame, targets: DataFrame, doc: str, patch: str, target: str, sid: int) -> DataFrame:
