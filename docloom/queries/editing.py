@@ -145,12 +145,8 @@ def random_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, last AS binary, last AS compact, last AS compact_binary, last AS verbose FROM (SELECT user_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id)")
 def document_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded in every structural form and viewed from it."""
-    log, found = _writes(spark, sf_dir), None
-    for form in documents.FORMS:
-        views = documents.document_views(documents.encode_documents(log, "user_id", "patch", form), "user_id", "state", form)
-        own = views.select("user_id", F.get_json_object("view", "$.last").alias(form))
-        found = own if found is None else found.join(own, "user_id")
-    return found
+    states = documents.encode_forms(_writes(spark, sf_dir), "user_id", "patch", list(documents.FORMS))
+    return states.select("user_id", *[F.get_json_object(documents.view_column(F.col(form), form), "$.last").alias(form) for form in documents.FORMS])
 
 
 @query("SELECT user_id, CAST(1 + 1 + count(*) AS BIGINT) AS nodes FROM (SELECT user_id FROM events) GROUP BY user_id")

@@ -128,3 +128,27 @@ def test_descendant_names_make_nodes_only_of_what_they_find(monkeypatch):
     found = jsonpath.evaluate(jsonpath.parse("$..q"), doc)
     assert [jsonpath.pointer(n.path) for n in found] == ["/q", "/q/q", "/q/q/1/q", "/b/0/q"]
     assert len(made) == len(found) + 1
+
+
+@pytest.mark.parametrize("name", ["rga_text", "rich_text", "doc_edits", "document_forms"])
+def test_documents_are_folded_in_batches_of_many(spark, sf, name):
+    plan = _plan(QUERIES[name](spark, sf))
+    assert "MapInArrow" in plan and "InPandas" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_folds_see_whole_documents_across_batches(spark):
+    from docloom.operators.crdt import folded
+
+    rows = [(None if k == 5 else k % 6, float("nan") if k % 2 else 0.0, k) for k in range(60)]
+    df = spark.createDataFrame(rows, "a int, b double, x int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        own = folded(df, ["a", "b"], lambda names, held: [(len(held), sum(x for (x,) in held))], "n long, total long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for a, b, x in rows:
+        n, total = want.get((a, str(b)), (0, 0))
+        want[a, str(b)] = (n + 1, total + x)
+    assert {(r["a"], str(r["b"])): (r["n"], r["total"]) for r in own} == want and len(own) == len(want)
