@@ -202,7 +202,8 @@ def diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences between successive turns rebuild both sides."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("dst"))
-    pairs = turns.join(later, ["conv_id", "turn"]).withColumn("p", diff.diff_column(F.col("text"), F.col("dst"))).withColumn("lines", diff.line_diff_column(F.col("text"), F.col("dst")))
+    both = [crdt.spread(side, "conv_id", "turn") for side in (turns, later)]  # under the join, which would drop the same partitioning above it
+    pairs = diff.with_diffs(both[0].join(both[1], ["conv_id", "turn"]), "text", "dst")
     p, text, dst = F.col("p"), F.col("text"), F.col("dst")
     length = lambda kind: F.aggregate(F.filter(p, lambda x: x["kind"] == kind), F.lit(0), lambda a, x: a + F.char_length(x["text"]))
     sides = F.size(F.filter("lines", lambda x: x["kind"] != "ins")) == F.size(F.split(text, "\n", -1))
@@ -246,7 +247,7 @@ def codec_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, true AS cbor, true AS cbor_stable, true AS msgpack, true AS ubjson, true AS bson, true AS resp, CAST(4 + 1 + CASE WHEN k < 24 THEN 0 WHEN k < 256 THEN 1 ELSE 2 END - 1 AS INTEGER) AS cbor_bytes FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
 def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = crdt.spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
     text = F.col("props")
     names = ("cbor", "cbor_stable", "msgpack", "ubjson", "bson", "resp")
     same = [json_utils.deep_equal_column(codecs.decode_column(codecs.encode_column(text, n), n), text).alias(n) for n in names]

@@ -266,3 +266,20 @@ def test_patch_diff_keeps_unchanged_parts():
     assert ops == [{"op": "add", "path": "/0", "value": {"id": -1}}, {"op": "replace", "path": "/50/id", "value": 99}]
     kept = patch.transform(patch.diff({"t": text}, {"t": new}), [{"op": "str_ins", "path": "/t", "pos": 100, "str": "Z"}])
     assert patch.apply_ops({"t": new}, kept)[0] == {"t": new[:100] + "Z" + new[100:]}
+
+
+def test_diffs_of_a_batch_come_in_pieces(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from docloom.operators import diff
+
+    texts = [("a\nb" * 20, "b\nc" * 20), (None, "x"), ("é\U0001f600", "\U0001f600"), ("", ""), ("same", "same"), ("x", None)] * 5
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k int, a string, b string").coalesce(1)
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(diff, "PIECE", size)
+        own = diff.with_diffs(rows, "a", "b")
+        plan = own._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "EvalPython" not in plan
+        both = own.select("k", (F.col("p").eqNullSafe(diff.diff_column(F.col("a"), F.col("b"))) & F.col("lines").eqNullSafe(diff.line_diff_column(F.col("a"), F.col("b")))).alias("same"))
+        found = both.collect()
+        assert sorted(r["k"] for r in found) == list(range(len(texts))) and all(r["same"] for r in found)
