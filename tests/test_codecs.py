@@ -92,3 +92,13 @@ def test_columns(spark):
     assert df.select(C.decode_column(F.lit(b"\xff").cast("binary"), "cbor").alias("t")).first().t is None
     url = df.select(C.base64_url(F.lit(b"\xff\xfe?").cast("binary")).alias("u"), C.from_base64_url(F.lit("__4_")).alias("b"), C.from_data_uri(C.data_uri(F.lit(b"q").cast("binary"))).alias("d")).first()
     assert (url.u, bytes(url.b), bytes(url.d)) == ("__4_", b"\xff\xfe?", b"q")
+
+
+def test_codecs_take_each_value_of_a_batch_once():
+    import pandas as pd
+
+    from docloom.sources.codecs import _once_each
+
+    seen = []
+    found = _once_each(pd.Series(["a", None, "b", "a", b"a", None]), lambda v: seen.append(v) or len(seen))
+    assert list(found) == [1, None, 2, 1, 3, None] and seen == ["a", "b", b"a"]

@@ -152,3 +152,9 @@ def test_folds_see_whole_documents_across_batches(spark):
         n, total = want.get((a, str(b)), (0, 0))
         want[a, str(b)] = (n + 1, total + x)
     assert {(r["a"], str(r["b"])): (r["n"], r["total"]) for r in own} == want and len(own) == len(want)
+
+
+def test_event_codecs_run_in_all_partitions(spark, sf):
+    """A small file is one task, whatever its rows cost."""
+    for name in ("codec_round_trip", "patch_forms", "random_documents"):
+        assert "REPARTITION_BY_NUM" in _plan(QUERIES[name](spark, sf)), name
