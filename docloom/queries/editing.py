@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import json_utils, random_data
-from docloom.operators import edit, richtext
+from docloom.operators import crdt, edit, richtext
 from docloom.queries.registry import query, table
 from docloom.sources import codecs, documents, literals, patches, wire  # noqa: F401  (wire registers its codecs)
 
@@ -30,11 +30,12 @@ def _text_patch() -> Column:
 @query("SELECT event_id, true AS patch_binary, true AS patch_compact, true AS patch_compact_binary, true AS patch_verbose, true AS ion, CAST(octet_length(encode(event_type)) AS INTEGER) + CASE WHEN length(event_type) < 8 THEN 0 ELSE 1 END + 5 + CASE WHEN event_id * 10 + 10 < 128 THEN 1 WHEN event_id * 10 + 10 < 16384 THEN 2 WHEN event_id * 10 + 10 < 2097152 THEN 3 WHEN event_id * 10 + 10 < 268435456 THEN 4 ELSE 5 END + 2 * CASE WHEN event_id * 10 + 10 < 64 THEN 1 WHEN event_id * 10 + 10 < 8192 THEN 2 WHEN event_id * 10 + 10 < 1048576 THEN 3 WHEN event_id * 10 + 10 < 134217728 THEN 4 ELSE 5 END AS binary_bytes FROM events")
 def patch_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trips of every form of a patch and of Ion, and the size of the binary form."""
-    e = table(spark, sf_dir, "events")
+    e = crdt.spread(table(spark, sf_dir, "events").select("event_id", "event_type", "props"), "event_id")
     text = _text_patch()
-    same = [json_utils.deep_equal_column(codecs.decode_column(codecs.encode_column(text, n), n), text).alias(n) for n in ("patch_binary", "patch_compact", "patch_compact_binary", "patch_verbose")]
+    made = {n: codecs.encode_column(text, n) for n in ("patch_binary", "patch_compact", "patch_compact_binary", "patch_verbose")}
+    same = [json_utils.deep_equal_column(codecs.decode_column(c, n), text).alias(n) for n, c in made.items()]
     ion = json_utils.deep_equal_column(codecs.decode_column(codecs.encode_column(F.col("props"), "ion"), "ion"), F.col("props")).alias("ion")
-    return e.select("event_id", *same, ion, F.octet_length(codecs.encode_column(text, "patch_binary")).alias("binary_bytes"))
+    return e.select("event_id", *same, ion, F.octet_length(made["patch_binary"]).alias("binary_bytes"))
 
 
 @query("SELECT event_id, CAST(2 AS BIGINT) AS sid, event_id * 10 + 10 AS time, CAST(1 AS BIGINT) AS span, 'new_str' AS op FROM events UNION ALL SELECT event_id, 2, event_id * 10 + 11, length(event_type), 'ins_str' FROM events")
@@ -130,7 +131,7 @@ def random_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of templates, seeded by the event's number, and whether they keep their ranges."""
     own = random_data.Draws(F.col("event_id"))
-    made = table(spark, sf_dir, "events").select("event_id", *[random_data.template(random_data.EXAMPLES[n], own.at(n)).alias(n) for n in ("user", "order", "tree")], random_data.random_json(F.col("event_id"), 12).alias("grown"))
+    made = crdt.spread(table(spark, sf_dir, "events").select("event_id"), "event_id").select("event_id", *[random_data.template(random_data.EXAMPLES[n], own.at(n)).alias(n) for n in ("user", "order", "tree")], random_data.random_json(F.col("event_id"), 12).alias("grown"))
     age = F.get_json_object("user", "$.age").cast("int")
     items = F.from_json(F.get_json_object("order", "$.items"), "array<struct<quantity:int, price:double>>")
     return made.select(
