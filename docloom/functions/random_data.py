@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -151,38 +152,41 @@ def random_json(key: Column, nodes: int = 32, odds: dict[str, int] | None = None
     """A document of about ``nodes`` nodes a row, each put into a container drawn at random."""
     odds = {**ODDS, **(odds or {})}
 
+    dump = json.JSONEncoder(ensure_ascii=False).encode
+
     @arrow("string")
     def run(own: pd.Series) -> pd.Series:
-        return own.map(lambda k: json.dumps(_grow(random.Random(f"{seed}:{k}"), nodes, odds), ensure_ascii=False))
+        return own.map(lambda k: dump(_grow(random.Random(f"{seed}:{k}"), nodes, odds)))
 
     return run(key.cast("string"))
 
 
 def _grow(own: random.Random, nodes: int, odds: dict[str, int]):
-    kinds, weights = list(odds), list(odds.values())
+    kinds, weights = list(odds), list(accumulate(odds.values()))
     both = odds["array"] + odds["object"]
     root: list | dict = [] if both and own.random() * both < odds["array"] else {}
-    containers = [root]
+    containers, between = [root], own.randrange
     for _ in range(nodes):
-        kind = own.choices(kinds, weights)[0]
-        value = {
-            "null": lambda: None,
-            "boolean": lambda: own.random() < 0.5,
-            "number": lambda: own.choice([own.random() * 1e9, own.randint(-128, 127), own.randint(-(1 << 15), (1 << 15) - 1), own.getrandbits(53)]),
-            "string": lambda: "".join(chr(own.randint(32, 126)) for _ in range(own.randint(1, 16))),
-            "array": list,
-            "object": dict,
-        }[kind]()
+        kind = own.choices(kinds, cum_weights=weights)[0]
+        if kind == "number":
+            value = own.choice([own.random() * 1e9, between(-128, 128), between(-(1 << 15), 1 << 15), own.getrandbits(53)])
+        elif kind == "string":
+            value = "".join([chr(between(32, 127)) for _ in range(between(1, 17))])
+        elif kind == "boolean":
+            value = own.random() < 0.5
+        else:
+            value = None if kind == "null" else [] if kind == "array" else {}
         holder = own.choice(containers)
         if isinstance(holder, list):
-            holder.insert(own.randint(0, len(holder)), value)
+            holder.insert(between(len(holder) + 1), value)
         else:
-            holder["".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=own.randint(1, 8)))] = value
+            holder["".join(own.choices(_LETTERS, k=between(1, 9)))] = value
         if isinstance(value, (list, dict)):
             containers.append(value)
     return root
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _WORD = ("repeat", 3, 9, ("char", 97, 122))
 _HEX = ("pick", *"0123456789abcdef")
 
